@@ -16,6 +16,8 @@ Null and empty texts have no ids.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 1_000_000  # segments whose ids a worker keeps
+MARKS = "!#$%&*,.;:?"
 _MODELS: dict[str, Model] = {}
 
 
@@ -73,6 +76,9 @@ class Model:
         self.single = {p: i for p, i in normal if len(p) == 1}
         self.longest = max(map(len, self.texts))
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.texts)
+        self.lines = not any("\n" in p for p in self.texts)
+        behind = {b for p in self.texts for a, b in pairwise(p) if a.isalpha()}
+        self.marks = "".join(c for c in MARKS if c not in behind)
         # a merge model scores by rank: whole numbers, none twice
         normal_scores = self.score[[i for p, i in normal if len(p) > 1]]
         self.merges = bool(len(normal_scores)) and bool(np.all(normal_scores == np.round(normal_scores)))
@@ -243,9 +249,14 @@ class Model:
         return out
 
     def segments(self, text: str) -> list[str]:
-        """A normalized text's segments: cut before each run of spaces."""
+        """A normalized text's segments: cut before each run of spaces, and around line ends if no piece has one."""
         if not self.cuts:
             return [text]
+        if SPACE + SPACE not in text and "\0" not in text:
+            text = text.replace(SPACE, "\0" + SPACE)
+            if self.lines:
+                text = text.replace("\n", "\0\n\0")
+            return list(filter(None, text.split("\0")))
         parts = text.split(SPACE)
         out = [parts[0]] if parts[0] else []
         run = ""
@@ -258,27 +269,42 @@ class Model:
             out.append(run)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as the library gives them."""
-        cut = [self.segments(self.sp.normalize(t)) if t else [] for t in texts]
-        cache = self.cache
-        missing = sorted({s for segments in cut for s in segments if s not in cache})
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of segments that the cache lacks. No piece has such a mark behind a letter, so such endings are encoded apart."""
+        split: list[tuple[str, str, str]] = []
+        need: dict[str, None] = {}
+        for s in missing:
+            core = s.rstrip(self.marks)
+            if len(core) < len(s) and core and core[-1].isalpha():
+                tail = s[len(core) :]
+                split.append((s, core, tail))
+                for x in (core, tail):
+                    if x not in self.cache:
+                        need[x] = None
+            else:
+                need[s] = None
         fresh: dict[str, bytes] = {}
         part: list[str] = []
         size = 0
-        for s in missing:
+        for s in need:
             part.append(s)
             size += len(s) + 1
             if size > 1_000_000:
                 fresh.update(zip(part, self.encode_segments(part), strict=True))
                 part, size = [], 0
-        if part:
-            fresh.update(zip(part, self.encode_segments(part), strict=True))
-        out = [b"".join([cache[s] if s in cache else fresh[s] for s in segments]) for segments in cut]
-        if len(cache) + len(fresh) <= CACHE:
-            cache.update(fresh)
-        elif len(fresh) <= CACHE // 2:
-            self.cache = fresh
+        fresh.update(zip(part, self.encode_segments(part), strict=True))
+        for s, core, tail in split:
+            fresh[s] = (fresh[core] if core in fresh else self.cache[core]) + (fresh[tail] if tail in fresh else self.cache[tail])
+        return fresh
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as the library gives them."""
+        cut = [self.segments(self.sp.normalize(t)) if t else [] for t in texts]
+        known = self.cache
+        known.update(self.learn(set(chain.from_iterable(cut)).difference(known)))
+        out = [b"".join(map(known.__getitem__, segments)) for segments in cut]
+        if len(known) > CACHE:  # what came twice in the latest texts stays
+            self.cache = {s: known[s] for s, n in Counter(chain.from_iterable(cut)).items() if n > 1}
         return out
 
 
