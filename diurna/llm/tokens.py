@@ -16,9 +16,12 @@ Each document ends with ``end_id``; null and empty texts are the end id alone.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,11 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC, VERSION = b"DITK", 1
-CACHE = 250_000  # segments whose ids a worker keeps
+CACHE = 1_000_000  # segments whose ids a worker keeps
+MARKS = "!#$%&*,.;:?"
+# where one of these occurs, white space isn't single or not plain (or the mark for cuts is there)
+ODD = ("  ", " \n", "\n ", "\n\n", "\0", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
+WORD = re.compile(r" ?\S+")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -53,41 +60,77 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         # otherwise texts are encoded whole
-        self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        self.line = self.encode_line()
+        self.cuts = self.line >= 0 and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+
+    def encode_line(self) -> int:
+        ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        return ids[0] if len(ids) == 1 else -1
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """As encode_all, for words without white space but for one space in front: joined by lines, whose end is a token of its own."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(ids == self.line)
+        if len(ends) != len(words) - 1:  # never seen; whole again
+            return self.encode_all(words)
+        raw, width = ids.tobytes(), self.width
+        ends = (ends * width).tolist()
+        return [raw[i:j] for i, j in zip([0, *(e + width for e in ends)], [*ends, len(raw)], strict=True)]
+
     def segments(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if not any(not p or p[0].isspace() for p in parts[1:]):
-            return [parts[0], *(" " + p for p in parts[1:])] if parts[0] else [" " + p for p in parts[1:]]
-        out = [parts[0]]
-        for p in parts[1:]:
+        """Cut before each single space and around each single line end, if non-spaces stand on both sides."""
+        if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ODD):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        out = [""]
+        for p in text.split(" "):
             if p and not p[0].isspace():
                 out.append(" " + p)
             else:
                 out[-1] += " " + p
+        # the first part has no space in front
+        out[0 if out[0] else 1] = out[0 if out[0] else 1][1:]
         return [s for s in out if s]
 
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of segments that the cache lacks. Marks behind a letter are a token's start, so such endings are encoded apart."""
+        split: list[tuple[str, str, str]] = []
+        need: dict[str, None] = {}
+        for s in missing:
+            core = s.rstrip(MARKS)
+            if len(core) < len(s) and core and core[-1].isalpha():
+                tail = s[len(core) :]
+                split.append((s, core, tail))
+                for x in (core, tail):
+                    if x not in self.cache:
+                        need[x] = None
+            else:
+                need[s] = None
+        words = list(filter(WORD.fullmatch, need))
+        rest = need.keys() - set(words)
+        fresh: dict[str, bytes] = {}
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            fresh.update(zip(part, self.encode_words(part), strict=True))
+        if rest:
+            others = list(rest)
+            fresh.update(zip(others, self.encode_all(others), strict=True))
+        get = self.cache.get
+        for s, core, tail in split:
+            fresh[s] = (fresh.get(core) or get(core)) + (fresh.get(tail) or get(tail))
+        return fresh
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.encode_all(texts)
         cut = [self.segments(t) for t in texts]
-        cache = self.cache
-        missing = list({s for segments in cut for s in segments if s not in cache})
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            fresh.update(zip(part, self.encode_all(part), strict=True))
-        if len(cache) + len(fresh) <= CACHE:
-            cache.update(fresh)
-            known = cache
-            return [b"".join([known[s] for s in segments]) for segments in cut]
-        out = [b"".join([cache[s] if s in cache else fresh[s] for s in segments]) for segments in cut]
-        # keep what the latest texts used; frequent segments come back at once
-        if len(fresh) < CACHE // 2:
-            self.cache = fresh
+        known = self.cache
+        known.update(self.learn(set(chain.from_iterable(cut)).difference(known)))
+        out = [b"".join(map(known.__getitem__, segments)) for segments in cut]
+        if len(known) > CACHE:  # what came twice in the latest texts stays
+            self.cache = {s: known[s] for s, n in Counter(chain.from_iterable(cut)).items() if n > 1}
         return out
 
 
