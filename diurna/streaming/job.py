@@ -91,7 +91,7 @@ class LongWindows(StatefulProcessor):
 
 def long_window_stream(base: DataFrame, settings: Settings) -> DataFrame:
     """Wavelet index and stability of every hop that the watermark has passed."""
-    rows = base.where(~F.isnan("median")).select("patient_id", "signal_type", F.unix_seconds("window_start").alias("t"), "median", F.window_time("window").alias("time")).withWatermark("time", "0 seconds")
+    rows = base.where(~F.isnan("median")).select("patient_id", "signal_type", F.unix_seconds("window_start").alias("t"), "median", F.window_time("window").alias("time"))
     return rows.groupBy("patient_id", "signal_type").transformWithStateInPandas(LongWindows(settings), outputStructType=rhythm.LONG, outputMode="Append", timeMode="EventTime")
 
 
