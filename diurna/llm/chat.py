@@ -15,13 +15,16 @@ Rows with a null conv_id take no part. Null texts are empty. Repeated rows are t
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SEGMENT = 1024
 # states: what the last rendered turn was
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -162,33 +165,78 @@ def format_chat(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
     cost is the segment's (the last one's with closing), roles are those of the turns it opens.
     """
-    from . import common
-
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim(F.coalesce("role", F.lit("")))).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.where("conv_id is not null").withColumn("part", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 62))).cast("long"))
-    order = ["turn", "role", "text"]
-
-    def matrices(key: tuple, turns: pd.DataFrame) -> pd.DataFrame:
-        turns = turns.sort_values(order, na_position="first", kind="stable")
-        return pd.DataFrame({"conv_id": [key[0]], "part": [key[1]], "m": [cost_matrix([clean(r) for r in turns["role"]]).ravel()]})
-
-    costs = rows.groupBy("conv_id", "part").applyInPandas(matrices, "conv_id long, part long, m array<double>")
-
-    def states(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values("part").reset_index(drop=True)
-        s = between([np.array(m).reshape(4, 4) for m in parts["m"]])
-        return pd.DataFrame({"conv_id": parts["conv_id"], "part": parts["part"], "segment": range(len(parts)), "n_segments": len(parts), "before": s[:-1], "after": s[1:]})
-
-    chosen = common.stored(costs.groupBy("conv_id").applyInPandas(states, "conv_id long, part long, segment long, n_segments long, before int, after int"), "states")
-
-    def finish(key: tuple, turns: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        turns = turns.sort_values(order, na_position="first", kind="stable")
-        a = at.iloc[0]
-        last = a["segment"] == a["n_segments"] - 1
-        cost, done = repair([clean(r) for r in turns["role"]], int(a["before"]), int(a["after"]))
-        text, roles = render(list(turns["text"]), done, a["segment"] > 0, bool(last), int(a["before"]))
-        changed = sum(what != "keep" or bool(way) for _, what, way in done) + (bool(last) and closing(int(a["after"])) > 0)
-        return pd.DataFrame({"conv_id": [key[0]], "segment": [a["segment"]], "n_segments": [a["n_segments"]], "n_turns": [len(turns)], "cost": [cost + (closing(int(a["after"])) if last else 0.0)], "n_changed": [int(changed)], "roles": [roles], "rendered": [text]})
+    part = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 62))).cast("long")
+    rows = rows.where("conv_id is not null").select("conv_id", part.alias("part"), "turn", "role", "text")
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, ...], list[float]] = {}
+        for group in blocks(runs(batches)):
+            found = []
+            for _, (_, _, _, roles) in group:
+                key = tuple(map(clean, roles))
+                if key not in known:
+                    if len(known) > 50_000:
+                        known.clear()
+                    known[key] = cost_matrix(list(key)).ravel().tolist()
+                found.append(known[key])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in group]), pa.array([k[1] for k, _ in group]), pa.array(found, pa.list_(pa.float64()))], names=["conv_id", "part", "m"])
+
+    turns = rows.select("conv_id", "part", "turn", "role").repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role")
+    costs = turns.mapInArrow(matrices, "conv_id long, part long, m array<double>")
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (conv, *_), (_, parts, ms) in runs(batches, 1):
+            chosen = between([np.array(m).reshape(4, 4) for m in ms])
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([conv] * n), pa.array(parts), pa.array(range(n), pa.int64()), pa.array([n] * n), pa.array(chosen[:-1], pa.int32()), pa.array(chosen[1:], pa.int32())], names=["conv_id", "part", "segment", "n_segments", "before", "after"])
+
+    chosen = common.stored(costs.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(states, "conv_id long, part long, segment long, n_segments long, before int, after int"), "states")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in blocks(runs(batches)):
+            out = []
+            for (conv, _), (_, _, _, roles, texts, segments, sizes, before, after) in group:
+                last = segments[0] == sizes[0] - 1
+                cost, done = repair([clean(r) for r in roles], before[0], after[0])
+                text, opened = render(texts, done, segments[0] > 0, last, before[0])
+                end = closing(after[0]) if last else 0.0
+                changed = sum(what != "keep" or bool(way) for _, what, way in done) + (end > 0)
+                out.append((conv, segments[0], sizes[0], len(texts), cost + end, int(changed), opened, text))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "segment", "n_segments", "n_turns", "cost", "n_changed", "roles", "rendered"])
 
     schema = "conv_id long, segment long, n_segments long, n_turns long, cost double, n_changed long, roles array<string>, rendered string"
-    return rows.groupBy("conv_id", "part").cogroup(chosen.groupBy("conv_id", "part")).applyInPandas(finish, schema)
+    whole = rows.join(chosen, ["conv_id", "part"]).select("conv_id", "part", "turn", "role", "text", "segment", "n_segments", "before", "after")
+    return whole.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text").mapInArrow(finish, schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[tuple[tuple, list[list]]]:
+    """(key, columns) of each run of rows with equal first columns, over batches sorted by them."""
+    held: list[list] = []
+    key: tuple = ()
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        each = list(zip(*columns[:keys], strict=True))
+        begin = 0
+        for i in range(1, len(each) + 1):
+            if i < len(each) and each[i] == each[begin]:
+                continue
+            piece = [c[begin:i] for c in columns]
+            if held and key == each[begin]:
+                for a, b in zip(held, piece, strict=True):
+                    a += b
+            else:
+                if held:
+                    yield key, held
+                held, key = piece, each[begin]
+            begin = i
+    if held:
+        yield key, held
+
+
+def blocks(items: Iterable, size: int = 500) -> Iterator[list]:
+    """Lists of up to ``size`` items."""
+    it = iter(items)
+    while block := list(islice(it, size)):
+        yield block
