@@ -8,6 +8,8 @@ have equal edges at equal offsets, so only edges that occur in two documents can
 around one edge that share it as their least k-mer form one nonbranching path, identified by its whole word sequence;
 paths compact to one row and Spark joins settle them:
 
+* adjacent paths of a document compact further to chunks, cut where a path's hash says so: a chunk that occurs in a smaller
+  document is repeated as a whole, in one row, and only chunks without such a source are opened again;
 * a path that occurs in a smaller document is repeated as a whole, all its windows with it;
 * where an edge has several paths (a branch: the border of a shared passage, an edited word), the words at the source
   coordinates of one occurrence of each path are read again, and its windows are compared one by one.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, ANCHOR = 50, 16
-_CHUNK = 4 << 20  # bytes handled at once; a longer text is handled alone
+_CHUNK = 1 << 20  # bytes handled at once; a longer text is handled alone
 _RNG = np.random.default_rng(77)
 _BASES = [np.uint64(int(x) | 1) for x in _RNG.integers(1 << 62, 1 << 63, 4, np.uint64)]
 _INVERSE = [np.uint64(pow(int(x), -1, 1 << 64)) for x in _BASES]
@@ -189,6 +191,41 @@ def _branch_windows(window: int):
     return run
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over paths in order of document and place: runs of adjacent paths, cut where a path's own hash says so."""
+    for batch in batches:
+        edge, path, ids, rows, start, n = (batch.column(i).to_numpy() for i in range(6))
+        cut = np.ones(len(ids), bool)
+        cut[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (path[1:] & 3 == 0)
+        begin = np.flatnonzero(cut)
+        size = np.diff(np.concatenate([begin, [len(ids)]]))
+        place = np.arange(len(ids)) - np.repeat(begin, size)
+        names = []
+        for which, x in ((1, path), (2, edge)):
+            value = mix(x.view(np.uint64) + n.astype(np.uint64)) * powers(which, int(size.max()))[place]
+            names.append(pa.array(mix(np.add.reduceat(value, begin) + size.astype(np.uint64)).view(np.int64)))
+        parts = pa.StructArray.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5)], names=["edge", "path", "start", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(ids)]]).astype(np.int32)), parts)
+        yield pa.RecordBatch.from_arrays([*names, pa.array(ids[begin]), pa.array(rows[begin]), pa.array(start[begin]), pa.array(np.add.reduceat(n, begin).astype(np.int32)), lists], names=["chunk_a", "chunk_b", "doc_id", "row", "start", "n", "paths"])
+
+
+def compacted(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans of chunks that a smaller document has, paths of the others).
+
+    The smallest document that has a path has it in a chunk that no smaller document has, so the paths left still show it.
+    """
+    ordered = kept.select("edge", "path", "doc_id", "row", "start", "n").repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "start")
+    schema = "chunk_a long, chunk_b long, doc_id long, row long, start int, n int, paths array<struct<edge: long, path: long, start: int, n: int>>"
+    with common.batches_of(kept.sparkSession, 10_000):  # short rows
+        chunks = common.stored(ordered.mapInArrow(_chunks, schema), "chunks")
+    low = chunks.groupBy("chunk_a", "chunk_b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("high > low")
+    low = common.stored(low.select("chunk_a", "chunk_b", "low"), "chunk-sources")
+    both = chunks.join(low, ["chunk_a", "chunk_b"], "left")
+    whole = chunks.drop("paths").join(low, ["chunk_a", "chunk_b"]).where("doc_id > low").select("doc_id", "row", F.struct("start", "n", F.lit(None).cast("long").alias("mask")).alias("span"))
+    rest = both.where("low is null or doc_id = low").select("doc_id", "row", F.explode("paths").alias("p")).select("p.edge", "p.path", "doc_id", "row", "p.start", "p.n")
+    return whole, common.stored(rest, "paths")
+
+
 def removals(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``(doc_id, row, spans)``; spans: (start, n, mask) of paths to remove, mask null for all their windows."""
     spark = keyed.sparkSession
@@ -200,7 +237,8 @@ def removals(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
     common.release(spark)
     kept = common.stored(found.join(shared, "edge", "left_semi"), "paths")
     common.release(spark)
-    classes = common.stored(kept.groupBy("edge", "path").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at")), "classes")
+    whole, kept = compacted(kept)
+    classes = common.stored(kept.groupBy("edge", "path").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at"), F.max("doc_id").alias("high")), "classes")
     branches = classes.groupBy("edge").count().where("count > 1").select("edge")
     there = classes.join(branches, "edge", "left_semi").select("edge", "path", "at.*")
     there = there.groupBy("doc_id", "row").agg(F.collect_list(F.struct("edge", "path", "start", "n")).alias("spans"))
@@ -209,10 +247,13 @@ def removals(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
     common.release(spark)
     low = windows.groupBy("edge", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("edge", "words", "low")
     masks = windows.join(low, ["edge", "words"]).where("low < doc_id").groupBy("edge", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
-    settled = classes.select("edge", "path", F.col("at.doc_id").alias("low")).join(masks, ["edge", "path"], "left")
+    # stored, so that the join with the paths has two plain exchanges and Spark may split its large partitions
+    settled = classes.select("edge", "path", F.col("at.doc_id").alias("low"), "high").join(masks, ["edge", "path"], "left").where("high > low or mask is not null").drop("high")
+    settled = common.stored(settled, "settled")
+    common.release(spark)
     out = kept.join(settled, ["edge", "path"]).where("doc_id > low or mask is not null")
     out = out.select("doc_id", "row", F.struct("start", "n", F.when(F.col("doc_id") == F.col("low"), F.col("mask")).alias("mask")).alias("span"))
-    return out.groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans"))
+    return out.unionByName(whole).groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans"))
 
 
 def _cover(n_words: int, start: np.ndarray, count: np.ndarray, mask: list[int | None], window: int) -> np.ndarray:
