@@ -62,10 +62,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts: bound the rows of an Arrow batch."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Long texts: bound the rows of an Arrow batch, where no other bound than the default is set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") in ("10000", "1000", "256"):
+        spark.conf.set(key, str(rows))
 
 
 @contextlib.contextmanager

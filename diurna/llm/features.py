@@ -23,7 +23,7 @@ _CACHE: dict[bytes, int] = {}
 
 def hashed(words: set[bytes], bits: int) -> np.ndarray:
     """Places of distinct words among 2^bits; the cache of hashes is bounded."""
-    if len(_CACHE) > 400_000:
+    if len(_CACHE) > 150_000:
         _CACHE.clear()
     get, mask, out = _CACHE.get, (1 << bits) - 1, []
     for w in words:

@@ -319,7 +319,7 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
 
     ids_crc32: of the ids as little-endian unsigned 32-bit integers. round_trip: decoding gives the text back.
     """
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, 1000)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = model(path)

@@ -192,7 +192,7 @@ class Part:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, parts: int | None = None) -> DataFrame:
     """Write docs' token ids below ``folder``; ``(part, name, n_docs, n_tokens, base)`` of each part, as a stored table."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, 1000)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     rows = rows.select("doc_id", "text")

@@ -41,7 +41,7 @@ def signals(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     text = (text or "").lower()
     tokens = _WORD.findall(text)
     distinct = set(tokens)
-    if len(_CACHE) > 200_000:
+    if len(_CACHE) > 60_000:
         _CACHE.clear()
     out: set[int] = set()
     for w in distinct:
