@@ -104,3 +104,13 @@ def test_kept_conversation_is_unchanged(spark):
     got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
     assert got.cost == 0 and got.n_changed == 0
     assert got.rendered == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nu<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n"
+
+
+def test_no_conversations(spark):
+    assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_repeated_turns_and_extra_columns(spark):
+    rows = [(1, 0, "user", "u", 5), (1, 0, "user", "u", 6), (1, 1, "assistant", None, 7)]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment int")).first()
+    assert got.n_turns == 3 and got.cost == chat.MERGE and got.rendered.startswith("<|im_start|>user\nu\n\nu<|im_end|>")
