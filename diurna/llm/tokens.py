@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC, VERSION = b"DITK", 1
-CACHE = 1_000_000  # segments whose ids a worker keeps
+CACHE = 1_400_000  # segments whose ids a worker keeps
 MARKS = "!#$%&*,.;:?"
 # where one of these occurs, white space isn't single or not plain (or the mark for cuts is there)
 ODD = ("  ", " \n", "\n ", "\n\n", "\0", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
