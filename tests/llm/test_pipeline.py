@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from diurna.llm import common, quality, toxicity
 
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_similar
 from .test_substring import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -27,8 +27,7 @@ def test_stages_against_brute_force(spark):
         assert kept[name] == want and want <= before
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     docs = common.stored(corpus_pipeline.drop_near_copies(spark, docs, DATA), "test")
-    fps = [brute_fingerprint(t, 5) for _, t in rows]
-    roots = brute_components([d for d, _ in rows], fps)
+    roots = brute_similar([d for d, _ in rows], [t for _, t in rows])
     rows = [r for r, c in zip(rows, roots, strict=True) if r[0] == c]
     assert docs.columns == columns and sorted((r.doc_id, r.text) for r in docs.collect()) == rows
     want = {d: (n, gone) for d, n, gone, _ in brute(rows)}

@@ -79,6 +79,57 @@ def test_dedup(make_docs, corpus):
     assert sorted(map(str, (r.doc_id for r in simhash.dedup(lone).collect()))) == ["7", "None"]
 
 
+def brute_sets(texts, shingle=5):
+    out = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        out.append({b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    return out
+
+
+def brute_similar(ids, texts, threshold=0.8):
+    """Smallest id of each text's group, by all pairs."""
+    sets, root = brute_sets(texts), list(range(len(ids)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or n and n / len(sets[i] | sets[j]) >= threshold:
+                root[top(i)] = top(j)
+    tops = [top(i) for i in range(len(ids))]
+    return [min(x for x, t in zip(ids, tops, strict=True) if t == r) for r in tops]
+
+
+@pytest.mark.parametrize("tile", [4, 2048])
+def test_dedup_similar(make_docs, tile):
+    r = np.random.default_rng(5)
+    texts = ["", None, " ", "a b", "A  b", "a b c"]
+    for _ in range(6):
+        words = [f"w{x}" for x in r.integers(0, 5000, 120)]
+        for _ in range(8):  # each further edit from the last: chains whose ends are not similar
+            words = list(words)
+            for _ in range(int(r.integers(0, 4))):
+                words[int(r.integers(0, len(words)))] = "new%d" % r.integers(0, 10**6)
+            texts.append(" ".join(words))
+    ids = r.permutation(len(texts)).tolist()
+    docs = make_docs(texts, ids)
+    got = simhash.dedup_similar(docs, tile=tile)
+    assert got.columns == docs.columns
+    assert sorted(x.doc_id for x in got.collect()) == sorted(set(brute_similar(ids, texts)))
+
+
+def test_dedup_similar_edges(make_docs):
+    assert simhash.dedup_similar(make_docs([])).count() == 0
+    docs = make_docs(["x y z"] * 3 + ["only without an id", "another", "x  Y z"], [7, 7, 3, None, 7, None])
+    got = sorted((str(x.doc_id), x.text) for x in simhash.dedup_similar(docs).collect())
+    assert got == [("3", "x y z"), ("7", "another"), ("None", "only without an id")]
+
+
 def test_empty_table(make_docs):
     assert simhash.components(make_docs([])).count() == 0
 
