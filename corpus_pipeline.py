@@ -24,10 +24,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays.
 
-    Shingles of five words, and fingerprints within 4 of 64 bits, which for texts of more than a few shingles is a
-    shingle similarity of well over 0.8.
+    Near copies are texts whose sets of five-word shingles have a similarity of 0.8 or more, and what those links chain together.
     """
-    return simhash.dedup(docs, radius=4, shingle=5)
+    return simhash.dedup_similar(docs, threshold=0.8, shingle=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
