@@ -300,7 +300,7 @@ def unmapped_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 500")
+    e = spark.read.parquet(f"{d}/events.parquet")
     v = F.col("value")
     return e.select(
         "event_id", S.normalize_label(F.concat(F.col("event_type"), F.lit(" -x_9"))).alias("label"), S.clamp(v, 10.0, 50.0).alias("clamped"), F.round(S.lerp(2.0, 5.0, v / 100), 4).alias("lerped"),
