@@ -46,7 +46,7 @@ def _cosinor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _filled(spark: SparkSession, d: str) -> DataFrame:
-    return rhythm.filled_windows(_base(spark, d), DAYS, "1 day", HOUR, 0.7)
+    return rhythm.filled_windows(_base(spark, d), DAYS, "1 hour", HOUR, 0.7)
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, d: str) -> DataFrame:
-    return rhythm.long_windows(_base(spark, d), DAYS, 24, HOUR, 0.7, low=2.0)
+    return rhythm.long_windows(_base(spark, d), DAYS, 1, HOUR, 0.7, low=2.0)
 
 
 def _truth(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

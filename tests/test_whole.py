@@ -1,7 +1,11 @@
 """Registered queries do the whole job: against their SQL without its cuts, or against brute force."""
 
 import os
+from datetime import datetime, timedelta
+from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +27,8 @@ def differing(spark, folder, names, change):
         df = queries[name](spark, folder)
         found = db.execute(change(sql[name]))
         columns = [c[0] for c in found.description]
-        want, got = rows(columns, found.fetchall()), rows(df.columns, df.collect())
+        want = rows(columns, [tuple(float(x) if isinstance(x, Decimal) else x for x in r) for r in found.fetchall()])
+        got = rows(df.columns, df.collect())
         n[name] = len(got)
         if sorted(df.columns) != sorted(columns) or got != want:
             differ.append(name)
@@ -34,3 +39,31 @@ def differing(spark, folder, names, change):
 def test_scalar_functions_over_every_event(spark):
     differ, n = differing(spark, DATA, ["scalar_functions"], lambda text: text.replace(" where event_id < 500", ""))
     assert not differ and n["scalar_functions"] == spark.read.parquet(f"{DATA}/events.parquet").count() > 500
+
+
+LONG_QUERIES = ("long_windows", "band_index", "stability", "gap_fill", "scalogram", "metrics_table", "q5_overview", "q7_light", "q12_index", "q14_stability", "q18_index", "q19_status", "q20_tiles")
+DAILY = "(hr // 24 - k + 5) * 24 as e, hr, median from h, (select unnest(range(0, 5)) as k)"
+HOURLY = "hr - k + 120 as e, hr, median from h, (select unnest(range(0, 120)) as k)"
+
+
+def hourly(text):
+    assert text.count(DAILY) == 1
+    return text.replace(DAILY, HOURLY)
+
+
+@pytest.fixture(scope="module")
+def week(spark, tmp_path_factory):
+    """Events of one patient: 6 days of two signals, an hour in nine missing."""
+    folder = tmp_path_factory.mktemp("week")
+    r = np.random.default_rng(3)
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h, minutes=5)
+    data = [(h, at(h), 2, kind, float(np.round(40 + 9 * np.cos(2 * np.pi * h / 24) + r.normal(), 2))) for kind in ("view", "click") for h in range(144) if h % 9]
+    pd.DataFrame(data, columns=["event_id", "ts", "user_id", "event_type", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(folder / "events.parquet")
+    return str(folder)
+
+
+def test_long_windows_end_every_hour(spark, week):
+    differ, n = differing(spark, week, LONG_QUERIES, hourly)
+    assert not differ
+    ends = sum(sum(e - 120 <= h < e and h % 9 > 0 for h in range(144)) >= 84 for e in range(300))
+    assert n["long_windows"] == 2 * ends and n["gap_fill"] == 2 * ends * 120
