@@ -190,6 +190,28 @@ def scalogram_rows(filled: DataFrame, dt: float = 1.0, omega0: float = 6.0, low:
     return filled.groupBy(*KEY, "window_end").applyInPandas(run, "patient_id string, signal_type string, window_end timestamp, period double, i int, power double")
 
 
+def series_scalogram(base: DataFrame, seconds: int = 60, omega0: float = 6.0, low: float = 0.5, high: float = 48.0, voices: int = 8, columns: int = 900, least: int = 60) -> DataFrame:
+    """``(patient_id, signal_type, window_end, period, i, power)`` of each whole series of at least ``least`` base windows.
+
+    One grid from the first to the last base window, gaps filled with the mean; every step-th time so that at most ``columns``
+    remain. window_end is the end of the last base window, i a place in the grid. A transform needs its series in one task.
+    """
+    rows = base.where(~F.isnan("median")).select(*KEY, F.unix_seconds("window_start").alias("t"), "median")
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        t, v = part["t"].to_numpy(), part["median"].to_numpy()
+        n = int(t.max() - t.min()) // seconds + 1
+        keep = np.arange(0, n, -(-n // columns)) if len(t) >= least else np.arange(0)
+        x = np.full(n, v.mean())
+        x[(t - t.min()) // seconds] = v
+        periods, psi = bank(n, seconds / 3600, omega0, low, high, voices)
+        spectrum = np.fft.fft(x - x.mean())
+        power = np.array([np.abs(np.fft.ifft(spectrum * p)[keep]) ** 2 for p in psi])
+        return pd.DataFrame({"patient_id": key[0], "signal_type": key[1], "window_end": pd.Timestamp(int(t.max()) + seconds, unit="s"), "period": np.repeat(periods, len(keep)), "i": np.tile(keep, len(periods)), "power": power.ravel()})
+
+    return rows.groupBy(*KEY).applyInPandas(run, "patient_id string, signal_type string, window_end timestamp, period double, i int, power double")
+
+
 METRICS = ("patient_id", "signal_type", "method", "window_end", "mesor", "amplitude", "acrophase", "r2", "cri", "is_stability", "iv_variab")
 
 

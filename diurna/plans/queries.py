@@ -176,9 +176,9 @@ def q5_overview(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q6_scalogram(spark: SparkSession, d: str) -> DataFrame:
-    f = _filled(spark, d).where("patient_id = 'P0001' and signal_type = 'view'")
-    f = f.join(F.broadcast(f.agg(F.max("window_end").alias("window_end"))), "window_end")  # one row
-    return rhythm.scalogram_rows(f).select(ms("window_end"), F.round("period", 6).alias("period"), "i", F.round("power", 3).alias("power"))
+    """The whole stored series, from its first base window to its last; window_end is the end of the last."""
+    b = _base(spark, d).where("patient_id = 'P0001' and signal_type = 'view'")
+    return rhythm.series_scalogram(b, HOUR, low=2.0).select(ms("window_end"), F.round("period", 6).alias("period"), "i", F.round("power", 3).alias("power"))
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:

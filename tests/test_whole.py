@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from diurna.operators import rhythm
 
 from .test_entry import rows
 
@@ -67,3 +68,25 @@ def test_long_windows_end_every_hour(spark, week):
     assert not differ
     ends = sum(sum(e - 120 <= h < e and h % 9 > 0 for h in range(144)) >= 84 for e in range(300))
     assert n["long_windows"] == 2 * ends and n["gap_fill"] == 2 * ends * 120
+
+
+def test_q6_scalogram_of_the_whole_series(spark, week):
+    got = entry.queries()["q6_scalogram"](spark, week).toPandas()
+    events = pd.read_parquet(f"{week}/events.parquet").query("event_type == 'view'")
+    assert set(got.window_end) == {int(pd.Timestamp("2024-01-07").timestamp() * 1000)} and len(got) == 37 * 143
+    n = 143  # hour 0 is missing
+    x = np.full(n, events.value.mean())
+    x[events.event_id.to_numpy() - 1] = events.value
+    spectrum = [(x * np.exp(-2j * np.pi * k * np.arange(n) / n)).sum() for k in range(1, n // 2 + 1)]
+    for period, i in ((2.0, 0), (16.0, 100), (2.0 * 2 ** (29 / 8), 7), (32.0, 142)):
+        s = period * (6 + 38**0.5) / (4 * np.pi)
+        w = sum(c * (2 * np.pi * s) ** 0.5 * np.pi**-0.25 * np.exp(-0.5 * (s * 2 * np.pi * k / n - 6) ** 2) * np.exp(2j * np.pi * k * i / n) for k, c in enumerate(spectrum, 1)) / n
+        row = got[(got.i == i) & np.isclose(got.period, period, atol=1e-5)]
+        assert row.power.item() == pytest.approx(abs(w) ** 2, abs=1e-3)
+
+
+def test_series_scalogram_thins_and_skips_short_series(spark):
+    t0 = datetime(2024, 1, 1)
+    base = spark.createDataFrame([(p, "HR", t0 + timedelta(hours=h), float(h % 24)) for p, n in (("a", 1000), ("b", 59)) for h in range(n)], "patient_id string, signal_type string, window_start timestamp, median double")
+    got = rhythm.series_scalogram(base, 3600, low=2.0).toPandas()
+    assert set(got.patient_id) == {"a"} and sorted(set(got.i)) == list(range(0, 1000, 2))
