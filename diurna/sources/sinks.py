@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._lock = threading.RLock()  # several queries merge into a table: one at a time reads a version and writes the next
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -71,11 +73,13 @@ class Store:
 
     def upsert(self, name: str, rows: DataFrame, order: Column | None = None) -> None:
         rows = conform(rows, name)
-        self._write(name, merged(self.read(name), rows, KEYS[name], order))
+        with self._lock:
+            self._write(name, merged(self.read(name), rows, KEYS[name], order))
 
     def insert_absent(self, name: str, rows: DataFrame) -> None:
-        old = self.read(name)
-        self._write(name, old.unionByName(absent(old, conform(rows, name), KEYS[name])))
+        with self._lock:
+            old = self.read(name)
+            self._write(name, old.unionByName(absent(old, conform(rows, name), KEYS[name])))
 
     def append_dead_letters(self, rows: DataFrame, batch: int = 0) -> None:
         """Rejects with surrogate ids; a batch that is replayed replaces its own rows."""

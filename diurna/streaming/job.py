@@ -95,6 +95,12 @@ def long_window_stream(base: DataFrame, settings: Settings) -> DataFrame:
     return rows.groupBy("patient_id", "signal_type").transformWithStateInPandas(LongWindows(settings), outputStructType=rhythm.LONG, outputMode="Append", timeMode="EventTime")
 
 
+def long_metrics(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Long windows as rows of the methods cwt and isiv."""
+    cwt = rhythm.as_metrics(rows.select("patient_id", "signal_type", "window_end", "cri"), "cwt")
+    return cwt.unionByName(rhythm.as_metrics(rows.select("patient_id", "signal_type", "window_end", "is_stability", "iv_variab"), "isiv")) if settings.enable_isiv else cwt
+
+
 def run_job(samples: DataFrame, signals: DataFrame, store: Store, settings: Settings, checkpoint: str, available_now: bool = False) -> list[StreamingQuery]:
     """Start the job's queries over a watermarked stream; each batch merges by key, so a replayed batch changes nothing."""
     good = validate.valid(samples, signals)
@@ -108,6 +114,7 @@ def run_job(samples: DataFrame, signals: DataFrame, store: Store, settings: Sett
         start(validate.dead_letters(samples, signals), "dead_letter", lambda rows, k: store.append_dead_letters(rows, k)),
         start(base, "agg_1min", lambda rows, k: store.upsert("agg_1min", rows)),
         start(cosinor_stream(base, settings), "cosinor", lambda rows, k: store.upsert("circadian_metrics", rhythm.as_metrics(rows, "cosinor"))),
+        start(long_window_stream(base, settings), "long_windows", lambda rows, k: store.upsert("circadian_metrics", long_metrics(rows, settings))),
     ]
 
 
