@@ -132,8 +132,14 @@ def phase_profile(spark: SparkSession, d: str) -> DataFrame:
     return _base(spark, d).groupBy(*KEY, F.hour("window_start").alias("hour")).agg(F.round(F.avg("median") + 1e-9, 4).alias("mean"), F.count("*").alias("n"))
 
 
+def replay_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole replay in order of time, as without ``--limit``."""
+    return _samples(spark, d).orderBy("timestamp", "patient_id", "signal_type", "value").select(*KEY, ms("timestamp"), "value")
+
+
 def replay_order(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(spark, d).orderBy("timestamp", "patient_id", "signal_type", "value").limit(100).select(*KEY, ms("timestamp"), "value")
+    """The first rows of the replay, as with ``--limit 100``."""
+    return replay_all(spark, d).limit(100)
 
 
 def stride(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +348,7 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = (
-        dead_letter, tumbling_aggregate, cosinor, gap_fill, stability, band_index, long_windows, scalogram, spectrum_share, spectrum_correlation, metrics_table, profile, difference, phase_profile, replay_order, stride,
+        dead_letter, tumbling_aggregate, cosinor, gap_fill, stability, band_index, long_windows, scalogram, spectrum_share, spectrum_correlation, metrics_table, profile, difference, phase_profile, replay_all, replay_order, stride,
         q1_patients, q2_medians, q3_metrics, q4_truth, q5_overview, q6_scalogram, q7_light, q8_patients, q9_signals, q10_panel, q15_latest, q16_disruptions, q17_phase, q18_index, q19_status, q20_tiles,
         overlay, shaded, truth_effects, upsert, insert_absent, device_dispositions, unmapped_labels, scalar_functions, colours, normal_ranges, period_grid, stream_tumbling,
     )

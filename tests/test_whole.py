@@ -90,3 +90,14 @@ def test_series_scalogram_thins_and_skips_short_series(spark):
     base = spark.createDataFrame([(p, "HR", t0 + timedelta(hours=h), float(h % 24)) for p, n in (("a", 1000), ("b", 59)) for h in range(n)], "patient_id string, signal_type string, window_start timestamp, median double")
     got = rhythm.series_scalogram(base, 3600, low=2.0).toPandas()
     assert set(got.patient_id) == {"a"} and sorted(set(got.i)) == list(range(0, 1000, 2))
+
+
+@needs_data
+def test_replay_of_every_event_in_order(spark):
+    got = entry.queries()["replay_all"](spark, DATA).toPandas()
+    e = pd.read_parquet(f"{DATA}/events.parquet")
+    who = "P" + (e.user_id % 2 + 1).astype(str).str.zfill(4)
+    want = pd.DataFrame({"patient_id": who, "signal_type": e.event_type, "timestamp": e.ts.astype("datetime64[ms]").astype("int64"), "us": e.ts.astype("datetime64[us]").astype("int64"), "value": e.value})
+    want = want.sort_values(["us", "patient_id", "signal_type", "value"]).drop(columns="us")
+    assert len(got) == len(e) > 100
+    assert list(got.itertuples(index=False, name=None)) == list(want.itertuples(index=False, name=None))
