@@ -20,9 +20,9 @@ def peak_hour(acrophase: Column) -> Column:
     return F.pmod(-acrophase * (24 / (2 * math.pi)), F.lit(24.0))
 
 
-def strength(cri: Column, r2: Column) -> Column:
-    """The band-power index, or else R2 (none: 0), between 0 and 1."""
-    return S.clamp(F.coalesce(cri, r2, F.lit(0.0)), 0.0, 1.0)
+def strength(*figures: Column) -> Column:
+    """The first figure that is there (none: 0), between 0 and 1."""
+    return S.clamp(F.coalesce(*figures, F.lit(0.0)), 0.0, 1.0)
 
 
 def schedule(patients: DataFrame, steps: int = 96, clamp_kelvin: bool = True) -> DataFrame:

@@ -14,6 +14,20 @@ def latest(metrics: DataFrame, value: str, method: str) -> DataFrame:
     return metrics.where((F.col("method") == method) & ok).groupBy(*KEY).agg(F.max_by(value, "window_end").alias(value))
 
 
+# each figure and the method that gives it
+FIGURES = {"amplitude": "cosinor", "acrophase": "cosinor", "r2": "cosinor", "cri": "cwt", "is_stability": "isiv", "iv_variab": "isiv"}
+
+
+def latest_figures(metrics: DataFrame) -> DataFrame:
+    """``latest`` of every figure beside each other, in one pass; null where a series has none."""
+
+    def last(value: str, method: str) -> Column:
+        ok = (F.col("method") == method) & F.col(value).isNotNull() & ~F.isnan(value)
+        return F.max_by(value, F.when(ok, F.col("window_end"))).alias(value)
+
+    return metrics.groupBy(*KEY).agg(*[last(v, m) for v, m in FIGURES.items()])
+
+
 def upper_median(values: Column) -> Column:
     """The middle of the sorted values, the upper one of two."""
     return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
@@ -31,8 +45,7 @@ def amplitude_slices(metrics: DataFrame) -> DataFrame:
 
 def status(metrics: DataFrame) -> DataFrame:
     """``(patient_id, signal_type, level, label, fit, decline)``; the first rule that holds decides."""
-    keys = metrics.select(*KEY).distinct()
-    rows = keys.join(latest(metrics, "r2", "cosinor"), [*KEY], "left").join(latest(metrics, "cri", "cwt"), [*KEY], "left").join(amplitude_slices(metrics), [*KEY], "left")
+    rows = latest_figures(metrics).join(amplitude_slices(metrics), [*KEY], "left")
     fit = F.coalesce("r2", "cri")
     decline = F.when(F.col("n_amplitudes") >= 8, F.when(F.col("base") > 0, 1 - F.col("current") / F.col("base")).otherwise(0.0))
     rows = rows.withColumn("fit", fit).withColumn("decline", decline)

@@ -15,9 +15,11 @@ from diurna.functions import scalars as S
 from diurna.operators import generate, lighting, rhythm, status, validate
 from diurna.schema import NORMAL_RANGES
 from diurna.sources import sinks, vitals
+from diurna.sources.shared import shared_root
 
 HOUR, PER_DAY, DAYS = 3600, 24, 5
 KEY = ["patient_id", "signal_type"]
+ONE = "patient_id = 'P0001' and signal_type = 'view'"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -115,7 +117,7 @@ def spectrum_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics_table(spark: SparkSession, d: str) -> DataFrame:
-    return _metrics(spark, d).select(*KEY, "method", ms("window_end"), *r4("mesor", "amplitude", "r2", "cri", "is_stability", "iv_variab"))
+    return _metrics(spark, d).select(*KEY, "method", ms("window_end"), *r4("mesor", "amplitude", "acrophase", "r2", "cri", "is_stability", "iv_variab"))
 
 
 def profile(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +151,7 @@ def stride(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q1_patients(spark: SparkSession, d: str) -> DataFrame:
-    return _base(spark, d).groupBy("patient_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("signal_type"))).alias("signals"))
+    return _base(spark, d).groupBy("patient_id").agg(F.to_json(F.array_sort(F.collect_set("signal_type"))).alias("signals"))
 
 
 def q2_medians(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +159,7 @@ def q2_medians(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q3_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics_table(spark, d).where("patient_id = 'P0001' and signal_type = 'view' and method = 'cosinor'").orderBy("window_end").select(F.col("window_end").alias("t"), "mesor", "amplitude", "r2")
+    return metrics_table(spark, d).where(ONE).orderBy("method", "window_end").select("method", F.col("window_end").alias("t"), "mesor", "amplitude", "acrophase", "r2", "cri", "is_stability", "iv_variab")
 
 
 def _events_table(spark: SparkSession) -> DataFrame:
@@ -172,13 +174,12 @@ def q4_truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q5_overview(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each time of one series: median and the three methods beside each other."""
-    m = metrics_table(spark, d).where("patient_id = 'P0001' and signal_type = 'view'")
-    parts = [m.where(F.col("method") == k).select(F.col("window_end").alias("t"), *cols) for k, cols in (("cosinor", ["amplitude", "r2"]), ("cwt", ["cri"]), ("isiv", ["is_stability", "iv_variab"]))]
-    out = q2_medians(spark, d).select("t", "value")
-    for p in parts:
-        out = out.join(p, "t", "full_outer")
-    return out
+    """The five sets of one series' overview as a tagged union: median, cosinor, cri, isiv, ground_truth."""
+    medians = _base(spark, d).where(ONE).select(F.lit("median").alias("part"), F.unix_millis("window_start").alias("t"), *r4("median", "completeness"))
+    m = metrics_table(spark, d).where(ONE)
+    metrics = m.select(F.when(F.col("method") == "cwt", "cri").otherwise(F.col("method")).alias("part"), F.col("window_end").alias("t"), "amplitude", "r2", "acrophase", "mesor", "cri", "is_stability", "iv_variab")
+    truth = _events_table(spark).where(ONE).select(F.lit("ground_truth").alias("part"), F.col("start_time").alias("t"), "event_type", "end_time", "magnitude")
+    return medians.unionByName(metrics, allowMissingColumns=True).unionByName(truth, allowMissingColumns=True)
 
 
 def q6_scalogram(spark: SparkSession, d: str) -> DataFrame:
@@ -188,13 +189,33 @@ def q6_scalogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
-    m = _metrics(spark, d)
-    return status.latest(m, "acrophase", "cosinor").join(status.latest(m, "r2", "cosinor"), KEY, "left").join(status.latest(m, "cri", "cwt"), KEY, "left")
+    return status.latest_figures(_metrics(spark, d)).where("acrophase is not null")
 
 
 def q7_light(spark: SparkSession, d: str) -> DataFrame:
-    p = _latest(spark, d).where("signal_type = 'view'").select("patient_id", "acrophase", lighting.strength(F.col("cri"), F.col("r2")).alias("strength"))
-    return lighting.schedule(p, 48).select("patient_id", "step", *[F.round(c, 3).alias(c) for c in ("hour", "intensity", "peak_hour")], F.round("cct", 0).alias("cct"))
+    """The light schedule of the dashboard's endpoint: strength is the index alone, 0 where there is none."""
+    p = _latest(spark, d).where("signal_type = 'view'").select("patient_id", "acrophase", lighting.strength(F.col("cri")).alias("strength"))
+    rows = lighting.schedule(p, 48, clamp_kelvin=False)
+    return rows.select("patient_id", "step", *[F.round(c, 3).alias(c) for c in ("hour", "peak_hour")], F.round("intensity", 4).alias("intensity"), F.round("strength", 4).alias("cri"), F.round("cct", 0).alias("cct"), "rgb")
+
+
+def light_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    """The demonstration page's schedule: fits joined to indices, and where a series has no index its R2 stands in."""
+    m = _metrics(spark, d)
+    fits = status.latest(m, "acrophase", "cosinor").join(status.latest(m, "r2", "cosinor"), KEY, "left")
+    p = fits.join(status.latest(m, "cri", "cwt"), KEY, "left").where("signal_type = 'view'")
+    rows = lighting.schedule(p.select("patient_id", "acrophase", lighting.strength(F.col("cri"), F.col("r2")).alias("strength")), 48)
+    return rows.select("patient_id", "step", F.round("intensity", 4).alias("intensity"), F.round("strength", 4).alias("strength"))
+
+
+def night_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Nights, 18:00 to 06:00, that shade each series' span; the first may begin before it."""
+    day, evening = 86_400, 18 * HOUR
+    span = _base(spark, d).groupBy(*KEY).agg(F.unix_seconds(F.min("window_start")).alias("a"), (F.unix_seconds(F.max("window_start")) + HOUR).alias("b"))
+    first = F.floor(F.col("a") / day) * day + evening
+    span = span.withColumn("first", F.when(first > F.col("a"), first - day).otherwise(first))
+    nights = span.select(*KEY, "b", F.explode(F.sequence(F.col("first"), F.col("b") - 1, F.lit(day))).alias("n"))
+    return nights.select(*KEY, (F.col("n") * 1000).alias("night_start"), (F.col("n") * 1000 + 12 * HOUR * 1000).alias("night_end"))
 
 
 def q8_patients(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +240,7 @@ def _panel(method: str, *cols: str) -> Query:
 def q15_latest(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy(F.desc("window_end"))
     rows = _cosinor(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return rows.select(*KEY, ms("window_end"), F.round(F.round("amplitude", 6).cast("decimal(38,18)"), 2).cast("double").alias("amplitude"), F.round(F.round("r2", 6).cast("decimal(38,18)"), 3).cast("double").alias("r2"))
+    return rows.select(*KEY, ms("window_end"), F.round(F.col("amplitude").cast("decimal(38,18)"), 2).cast("double").alias("amplitude"), F.round(F.col("r2").cast("decimal(38,18)"), 3).cast("double").alias("r2"))
 
 
 def q16_disruptions(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +250,7 @@ def q16_disruptions(spark: SparkSession, d: str) -> DataFrame:
 def q17_phase(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("patient_id").orderBy(F.desc("window_end"))
     rows = _cosinor(spark, d).where("signal_type = 'view'").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return rows.select("patient_id", F.round(F.cos("acrophase"), 4).alias("cos_phase"), *r4("r2"))
+    return rows.select("patient_id", *r4("acrophase", "r2"))
 
 
 def q18_index(spark: SparkSession, d: str) -> DataFrame:
@@ -241,10 +262,7 @@ def q19_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q20_tiles(spark: SparkSession, d: str) -> DataFrame:
-    m = _metrics(spark, d)
-    out = status.latest(m, "amplitude", "cosinor")
-    for value, method in (("r2", "cosinor"), ("acrophase", "cosinor"), ("cri", "cwt"), ("is_stability", "isiv"), ("iv_variab", "isiv")):
-        out = out.join(status.latest(m, value, method), KEY, "left")
+    out = status.latest_figures(_metrics(spark, d)).where("amplitude is not null")
     span = _base(spark, d).groupBy(*KEY).agg(F.round((F.max(F.unix_millis("window_start")) - F.min(F.unix_millis("window_start"))) / 86_400_000, 4).alias("span_days"))
     return out.join(span, KEY).select(*KEY, *r4("amplitude", "r2", "cri", "is_stability", "iv_variab"), F.round(lighting.peak_hour(F.col("acrophase")), 2).alias("peak_hour"), "span_days")
 
@@ -318,8 +336,9 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 
 def colours(spark: SparkSession, d: str) -> DataFrame:
     k = spark.range(0, 50).select((F.lit(800.0) + F.col("id") * 250.0).alias("kelvin"))
-    r, g, b = S.kelvin_rgb(F.col("kelvin"))
-    return k.select("kelvin", *[F.round(c, 3).alias(n) for c, n in ((r, "red"), (g, "green"), (b, "blue"))])
+    names = ("red", "green", "blue")
+    clamped, free = (zip(S.kelvin_rgb(F.col("kelvin"), c), names, strict=True) for c in (True, False))
+    return k.select("kelvin", *[F.round(c, 3).alias(n) for c, n in clamped], *[F.round(c, 3).alias(f"free_{n}") for c, n in free])
 
 
 def normal_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -332,13 +351,11 @@ def period_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """The stream's base windows, over the events in one run: all that the final watermark has passed."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="diurna-")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d) if not d.startswith("viewfs") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    e = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")  # a pattern matches one file as well as a folder of them
     s = e.select(S.patient_name((F.col("user_id") % 2 + 1).cast("int")).alias("patient_id"), F.col("event_type").alias("signal_type"), F.col("ts").cast("timestamp").alias("timestamp"), "value", F.lit("count").alias("unit")).withWatermark("timestamp", "5 seconds")
     base = rhythm.tumbling(validate.valid(s, _signals(spark)), HOUR, 3).select(*KEY, "window_start", "n", "median", "sd", "completeness")
     q = base.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
@@ -349,7 +366,7 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = (
         dead_letter, tumbling_aggregate, cosinor, gap_fill, stability, band_index, long_windows, scalogram, spectrum_share, spectrum_correlation, metrics_table, profile, difference, phase_profile, replay_all, replay_order, stride,
-        q1_patients, q2_medians, q3_metrics, q4_truth, q5_overview, q6_scalogram, q7_light, q8_patients, q9_signals, q10_panel, q15_latest, q16_disruptions, q17_phase, q18_index, q19_status, q20_tiles,
+        q1_patients, q2_medians, q3_metrics, q4_truth, q5_overview, q6_scalogram, q7_light, light_ceiling, night_intervals, q8_patients, q9_signals, q10_panel, q15_latest, q16_disruptions, q17_phase, q18_index, q19_status, q20_tiles,
         overlay, shaded, truth_effects, upsert, insert_absent, device_dispositions, unmapped_labels, scalar_functions, colours, normal_ranges, period_grid, stream_tumbling,
     )
     out: dict[str, Query] = {f.__name__: f for f in named}
