@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,18 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _FOLDERS:
-        _FOLDERS[key] = "file://" + tempfile.mkdtemp(prefix="diurna-")
-    return _FOLDERS[key]
+from diurna.sources.shared import shared_root
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -34,18 +22,33 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_LIVE: dict[str, None] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; it is removed when the driver's Python ends."""
+    """A fresh path below the shared folder; what is still there is removed when the driver's Python ends."""
     path = f"{shared_root(spark)}/diurna/{name}-{uuid.uuid4().hex}"
+    if not _LIVE:
+        atexit.register(forget, spark)
+    _LIVE[path] = None
+    return path
 
-    def forget() -> None:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may be gone
-            pass
 
-    atexit.register(forget)
-    return path
+def forget(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove scratch folders, all of them by default."""
+    for path in list(_LIVE) if paths is None else paths:
+        if path in _LIVE:
+            with contextlib.suppress(Exception):  # the session may be gone
+                drop_path(spark, path)
+            _LIVE.pop(path, None)
+
+
+@contextlib.contextmanager
+def owned() -> Iterator[list[str]]:
+    """The scratch folders made inside, in a list that is filled at the end."""
+    before, made = set(_LIVE), []
+    yield made
+    made += [p for p in _LIVE if p not in before]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +56,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for t in tables:
+        forget(t.sparkSession, [t._scratch])
 
 
 def release(spark: SparkSession) -> None:
@@ -177,7 +188,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = stored(small, "links")
+        old, e = e, stored(small, "links")
+        discard(old)
         now = _mark(e)
         if now == mark:
             return e

@@ -291,139 +291,3 @@ def fingerprint_column(docs: DataFrame, shingle: int = 4):
         return pd.Series(np.array([fingerprint(t.encode() if t is not None else None, shingle) for t in texts], np.uint64).view(np.int64))
 
     return of(docs["text"])
-
-
-# Similar texts: shingle sets of a Jaccard similarity of at least a threshold.
-BANDS, ROWS = 24, 5  # sets of similarity 0.8 share no band of equal minima once in 14,000 pairs, more similar ones less often
-REACH = 22  # bits; fingerprints of sets of similarity 0.8 differ in 9.7 +- 2.9
-_MIX = np.random.default_rng(31).integers(0, 2**64, (2, BANDS * ROWS), np.uint64, endpoint=False)
-
-
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """One key for each band: equal keys are equal least hashes under each of its ``ROWS`` functions."""
-    if not len(shingles):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        mixed = (shingles[at : at + 2048, None] ^ _MIX[0]) * (_MIX[1] | np.uint64(1))
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
-
-
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(id, row, one, two, fp, bands)`` of each row; one and two name its shingle set, row its text."""
-    common.small_batches(docs.sparkSession)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t, shingle)) for t in common.raw_texts(batch.column(2))]
-        digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
-        fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
-        bands = [np.array(band_keys(s), np.uint64).view(np.int64) for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(fps), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row", "one", "two", "fp", "bands"])
-
-    return common.map_batches(_rows(docs).select("id", "row", "text"), run, "id long, row long, one long, two long, fp long, bands array<long>")
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with ``id`` (nulls last) and ``row`` (of its text), its own columns renamed away but for ``text``."""
-    own = [F.col(c).alias(f"d_{i}") for i, c in enumerate(docs.columns)]
-    return docs.select(*own, F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("row"))
-
-
-def _cross_sorted(radius: int):
-    """Over rows sorted by bucket (key, tile), with a root each: pairs of different roots within radius bits."""
-
-    def handle(key: np.ndarray, tile: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fp, refs = fp.view(np.uint64), pivots()
-        edge = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
-        u: list[np.ndarray] = []
-        v: list[np.ndarray] = []
-        size = 0
-        for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
-            if j - i < 2 or (root[i:j] == root[i]).all():
-                continue
-            table = distance_table(fp[i:j], refs)
-            two_sided = tile[i] >= 0 and tile[i] % 2 == 1
-            for x in range(i, j - 1):
-                hit = x + 1 + near(fp[x], fp[x + 1 : j], table[x + 1 - i :], table[x - i], radius)
-                hit = hit[root[hit] != root[x]]
-                if two_sided:
-                    hit = hit[side[hit] != side[x]]
-                if len(hit):
-                    u.append(np.maximum(node[hit], node[x]))
-                    v.append(np.minimum(node[hit], node[x]))
-                    size += len(hit)
-                if size >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-                    u, v, size = [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
-    return _by_bucket(handle)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """Of the pairs ``(u, v)`` of texts those whose shingle sets have at least the similarity."""
-    wanted = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
-    texts = docs.select(F.xxhash64("text").alias("row"), "text").join(wanted, "row", "left_semi").groupBy("row").agg(F.min("text").alias("text"))
-    texts = common.stored(texts, "texts")
-    both = pairs.join(texts.select(F.col("row").alias("v"), F.col("text").alias("text_v")), "v")
-    both = both.join(texts.select(F.col("row").alias("u"), F.col("text").alias("text_u")), "u")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        made: dict[int, np.ndarray] = {}
-        ok = []
-        for a, b, x, y in zip(u, v, common.raw_texts(batch.column(2)), common.raw_texts(batch.column(3)), strict=True):
-            for k, t in ((a, x), (b, y)):
-                if k not in made:
-                    made[k] = np.unique(shingle_hashes(t, shingle))
-            shared = len(np.intersect1d(made[a], made[b], assume_unique=True))
-            ok.append(shared / (len(made[a]) + len(made[b]) - shared) >= threshold)
-        return batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return common.map_batches(both.select("u", "v", "text_u", "text_v"), run, "u long, v long")
-
-
-def similar(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tile: int = TILE) -> DataFrame:
-    """``(one, two, first_id, first_row)``: for each shingle set the first row of its group of similar texts.
-
-    Fingerprints within four bits find few texts of a similarity near 0.8, so here texts meet in buckets of equal minimum
-    hashes. Texts of one shingle set are one class. Each class is held against its bucket's least class; then, in
-    buckets with several groups left, classes of different groups whose rows in the pivot distance table allow ``REACH``
-    bits are held against each other, large buckets in pairs of tiles. Every pair is verified on its whole texts.
-    """
-    if not 0.8 <= threshold <= 1:
-        raise ValueError("threshold must be between 0.8 and 1")
-    drawn = common.stored(sketches(docs, shingle), "sketches")
-    best = F.min(F.struct("id", "row")).alias("best")
-    classes = common.stored(drawn.groupBy("one", "two").agg(best, F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("one", "two", "best", F.col("best.row").alias("node"), "fp", "bands"), "classes")
-    rows = classes.select("node", "fp", F.explode("bands").alias("key"))
-    busy = common.stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("c")).where("n > 1").select("key", "c"), "buckets")
-    meet = common.stored(rows.join(busy, "key"), "meetings")
-    first = meet.where(F.col("node") != F.col("c.node")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= REACH)
-    first = common.stored(first.select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct(), "pairs")
-    linked = common.stored(_verified(first, docs, threshold, shingle), "similar")
-    roots = common.connected_components(linked)
-    placed = meet.select("key", "fp", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "fp", "node", F.coalesce("v", "node").alias("root"))
-    placed = common.stored(placed, "placed")
-    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = dealt(placed.join(several, "key", "left_semi"), tile).mapInArrow(_cross_sorted(REACH), "u long, v long").distinct()
-    done = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rest = common.stored(rest.join(done, ["u", "v"], "left_anti"), "pairs")
-    if rest.head(1):
-        more = common.stored(_verified(rest, docs, threshold, shingle), "similar")
-        roots = common.connected_components(linked.unionByName(more))
-    named = common.stored(classes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("one", "two", "best", F.coalesce("v", "node").alias("root")), "groups")
-    firsts = named.groupBy("root").agg(F.min("best").alias("first"))
-    return named.join(firsts, "root").select("one", "two", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"))
-
-
-def dedup_similar(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tile: int = TILE) -> DataFrame:
-    """docs with one row of each group of similar texts: that of the smallest doc_id, nulls last (of repeated rows, one).
-
-    Null and empty texts, and texts without words, have the same, empty set: they are one group.
-    """
-    firsts = common.stored(similar(docs, threshold, shingle, tile).select(F.col("first_id").alias("id"), F.col("first_row").alias("row")).distinct(), "firsts")
-    kept = _rows(docs).drop("text").join(firsts, ["id", "row"], "left_semi").dropDuplicates(["id", "row"])
-    return kept.select(*[F.col(f"d_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from diurna.llm import common, simhash
+from diurna.llm import common, similar, simhash
 
 
 def brute_fingerprint(text, n=4):
@@ -105,8 +105,9 @@ def brute_similar(ids, texts, threshold=0.8):
     return [min(x for x, t in zip(ids, tops, strict=True) if t == r) for r in tops]
 
 
-@pytest.mark.parametrize("tile", [4, 2048])
-def test_dedup_similar(make_docs, tile):
+@pytest.mark.parametrize("enough", [0, 100])
+def test_dedup_similar(make_docs, monkeypatch, enough):
+    monkeypatch.setattr(similar, "ENOUGH", enough)  # 0: by rounds of centres alone
     r = np.random.default_rng(5)
     texts = ["", None, " ", "a b", "A  b", "a b c"]
     for _ in range(6):
@@ -118,18 +119,37 @@ def test_dedup_similar(make_docs, tile):
             texts.append(" ".join(words))
     ids = r.permutation(len(texts)).tolist()
     docs = make_docs(texts, ids)
-    got = simhash.dedup_similar(docs, tile=tile)
+    got = similar.dedup_similar(docs)
     assert got.columns == docs.columns
     assert sorted(x.doc_id for x in got.collect()) == sorted(set(brute_similar(ids, texts)))
 
 
 def test_dedup_similar_edges(make_docs):
-    assert simhash.dedup_similar(make_docs([])).count() == 0
+    assert similar.dedup_similar(make_docs([])).count() == 0
     docs = make_docs(["x y z"] * 3 + ["only without an id", "another", "x  Y z"], [7, 7, 3, None, 7, None])
-    got = sorted((str(x.doc_id), x.text) for x in simhash.dedup_similar(docs).collect())
+    got = sorted((str(x.doc_id), x.text) for x in similar.dedup_similar(docs).collect())
     assert got == [("3", "x y z"), ("7", "another"), ("None", "only without an id")]
 
 
+def test_similar_texts_around_one_passage(make_docs, monkeypatch):
+    """One common passage, in texts below and above the threshold; its shingles are frequent."""
+    r = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"w{r.integers(0, 10**9)}" for _ in range(int(r.integers(1, 40)))]) for _ in range(120)]
+    ids = list(range(len(texts)))
+    want = sorted(set(brute_similar(ids, texts)))
+    assert 1 < len(want) < len(texts)
+    for hot in (similar.HOT, 0):  # without the list of frequent shingles the work changes, not the result
+        monkeypatch.setattr(similar, "HOT", hot)
+        assert sorted(x.doc_id for x in similar.dedup_similar(make_docs(texts, ids)).collect()) == want
+
+
+def test_similar_keeps_clashing_columns(make_docs):
+    docs = make_docs(["a b c d e f", "A b c d e f", "x"]).withColumnRenamed("lang", "row").withColumnRenamed("source", "id")
+    got = similar.dedup_similar(docs)
+    assert got.columns == docs.columns and sorted((x.doc_id, x.row, x.id) for x in got.collect()) == [(0, "en", "s"), (2, "en", "s")]
+
+
 def test_empty_table(make_docs):
     assert simhash.components(make_docs([])).count() == 0
 
