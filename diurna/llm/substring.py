@@ -3,9 +3,12 @@
 A window is ``window`` consecutive words of one document. A word is removed if a window that covers it, taken as a word
 sequence, also starts in a document with a smaller doc_id.
 
+Equal texts are one class first: each window of a copy also starts in the class's smallest document, so a later copy
+loses all its words if it has a whole window, and none otherwise. Only the class's first document goes on.
+
 Edges of the graph are the ``anchor``-word k-mers that are the least (by hash, leftmost) of some window: equal windows
 have equal edges at equal offsets, so only edges that occur in two documents can carry a repeated window. The windows
-around one edge that share it as their least k-mer form one nonbranching path, identified by its whole word sequence;
+around one edge that share it as their least k-mer form one nonbranching path, identified by its first and last window;
 paths compact to one row and Spark joins settle them:
 
 * adjacent paths of a document compact further to chunks, cut where a path's hash says so: a chunk that occurs in a smaller
@@ -14,9 +17,13 @@ paths compact to one row and Spark joins settle them:
 * where an edge has several paths (a branch: the border of a shared passage, an edited word), the words at the source
   coordinates of one occurrence of each path are read again, and its windows are compared one by one.
 
-Text moves twice (to the branches' coordinates and to the spans that are removed), windows only at branches. Rows with
+Hashes only name what may be equal. The words at each source's coordinates are read again, and a span is removed only if its own
+words have the same BLAKE2b digest (128 bits) as the source's; so equal hashes of different words remove nothing.
+
+Text moves twice (to the sources' coordinates and to the spans that are removed), windows only at branches. Rows with
 a null doc_id are neither source nor target: nothing is removed from them. Rows that repeat a doc_id are one document
-for the rule and separate rows in the result. Null or empty texts have no words.
+for the rule and separate rows in the result. Null or empty texts have no words. Very long texts are read whole; a table
+without rows gives none. Columns of other names than those added are returned as they came.
 """
 
 from __future__ import annotations
@@ -31,74 +38,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .words import mix, runs, word_hashes
 
 WINDOW, ANCHOR = 50, 16
 _CHUNK = 1 << 20  # bytes handled at once; a longer text is handled alone
-_RNG = np.random.default_rng(77)
-_BASES = [np.uint64(int(x) | 1) for x in _RNG.integers(1 << 62, 1 << 63, 4, np.uint64)]
-_INVERSE = [np.uint64(pow(int(x), -1, 1 << 64)) for x in _BASES]
-_TABLES: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
-    """0..n-th powers of a fixed odd base modulo 2^64, or of its inverse."""
-    have = _TABLES.get((which, inverse))
-    if have is None or len(have) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        have = np.full(size, (_INVERSE if inverse else _BASES)[which], np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _TABLES[which, inverse] = have
-    return have[: n + 1]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: spreads each input bit over the word."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_BASES = [np.uint64(int(x) | 1) for x in np.random.default_rng(78).integers(1 << 62, 1 << 63, 2, np.uint64)]
+ALL = -1  # as a span's number of windows: each word of a text that has a window
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a byte array."""
-    inside = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    return edge[::2], edge[1::2]
-
-
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    size = end - start
-    if not len(size):
-        return np.zeros(0, np.uint64)
-    ahead = np.concatenate([[0], np.cumsum(size)[:-1]])
-    inner = np.arange(int(size.sum())) - np.repeat(ahead, size)
-    value = (data[inner + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)) * powers(0, int(size.max()))[inner]
-    return mix(np.add.reduceat(value, ahead) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 class Words:
-    """Words of several texts, and hashes of any run of them."""
+    """Hashes of the words of several texts, end to end."""
 
     def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b" ".join(texts), np.uint8)
-        start, end = word_spans(data)
-        at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        self.doc = np.searchsorted(at, start, "right") - 1
-        self.first = np.searchsorted(start, at[:-1])
-        hashes = word_hashes(data, start, end)
-        n = len(hashes)
-        self.n = n
-        self.sums = []
-        for which in (1, 2):
-            s = np.zeros(n + 1, np.uint64)
-            np.cumsum(hashes * powers(which, n)[:n], out=s[1:])
-            self.sums.append(s)
-
-    def run(self, start: np.ndarray, size: np.ndarray | int, which: int) -> np.ndarray:
-        """Hashes of runs of words; which: 1 or 2, independent of each other."""
-        s = self.sums[which - 1]
-        return mix((s[start + size] - s[start]) * powers(which, self.n, True)[start] + np.uint64(which))
+        cut = [t.split() for t in texts]
+        size = [len(w) for w in cut]
+        self.n = sum(size)
+        self.first = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), size)
+        self.hashes = np.concatenate([word_hashes(w) for w in cut]) if cut else np.zeros(0, np.uint64)
 
 
 def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
@@ -116,7 +77,7 @@ def paths(texts: list[bytes], window: int, anchor: int):
     empty = np.zeros(0, np.int64)
     if w.n < window:
         return empty, empty, empty, empty, empty
-    edge = w.run(np.arange(w.n - anchor + 1), anchor, 1)
+    edge, whole = runs(w.hashes, anchor, window)
     n = w.n - window + 1
     least = np.empty(n, np.int64)
     for at in range(0, n, 1 << 23):
@@ -134,8 +95,9 @@ def paths(texts: list[bytes], window: int, anchor: int):
     count = np.diff(np.concatenate([begin, [len(ok)]]))
     first = ok[begin]
     doc = w.doc[first]
-    # the edge's offset belongs to the path's identity: windows are numbered from its start
-    path = mix(w.run(first, count + window - 1, 2) + count.astype(np.uint64) * np.uint64(64) + (at[begin] - first).astype(np.uint64))
+    # a path has fewer windows than a window has words, so its first and last window name all its words; the edge's offset
+    # belongs to its identity: windows are numbered from its start
+    path = mix(whole[first] * _BASES[0] + mix(whole[first + count - 1] + count.astype(np.uint64) * np.uint64(64) + (at[begin] - first).astype(np.uint64)) * _BASES[1])
     return doc, first - w.first[doc], count, edge[at[begin]].view(np.int64), path.view(np.int64)
 
 
@@ -165,28 +127,21 @@ def path_rows(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     return keyed.mapInArrow(run, "edge long, path long, doc_id long, row long, start int, n int")
 
 
-def _branch_windows(window: int):
-    """Over (doc_id, row, text, spans of (edge, path, start, n)): each window of each span."""
+def _at_sources(window: int):
+    """Over (doc_id, row, text, spans of (a, b, start, n, branch)): the digest of each span's words; of branches each window's too."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        edges, path_ids, offsets, hashes, ids = [], [], [], [], []
-        spans, texts = batch.column(3), common.raw_texts(batch.column(2))
-        flat, at = spans.flatten(), np.asarray(spans.offsets) - spans.offsets[0].as_py()
-        e, p, s, n = (flat.field(k).to_numpy() for k in range(4))
-        doc_ids = batch.column(0).to_numpy()
-        for i, t in enumerate(texts):
-            x, y = at[i], at[i + 1]
-            words = Words([t])
-            size = n[x:y].astype(np.int64)
-            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            hashes.append(words.run(np.repeat(s[x:y].astype(np.int64), size) + inner, window, 2).view(np.int64))
-            offsets.append(inner)
-            edges.append(np.repeat(e[x:y], size))
-            path_ids.append(np.repeat(p[x:y], size))
-            ids.append(np.full(len(inner), doc_ids[i]))
-        if not edges:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (edges, path_ids)] + [pa.array(np.concatenate(offsets).astype(np.int32))] + [pa.array(np.concatenate(c)) for c in (hashes, ids)], names=["edge", "path", "place", "words", "doc_id"])
+        out: list[tuple] = []
+        ids, spans = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+        for doc_id, text, own in zip(ids, common.raw_texts(batch.column(2)), spans, strict=True):
+            words = text.split() if text else []
+            for s in own:
+                a, b, start, n = s["a"], s["b"], s["start"], s["n"]
+                out.append((a, b, -1, digest(words[start : start + n - 1 + window]), doc_id))
+                if s["branch"]:
+                    out += [(a, b, o, digest(words[start + o : start + o + window]), doc_id) for o in range(n)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "place", "words", "doc_id"]) if out else None
 
     return run
 
@@ -201,8 +156,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.concatenate([begin, [len(ids)]]))
         place = np.arange(len(ids)) - np.repeat(begin, size)
         names = []
-        for which, x in ((1, path), (2, edge)):
-            value = mix(x.view(np.uint64) + n.astype(np.uint64)) * powers(which, int(size.max()))[place]
+        for base, x in zip(_BASES, (path, edge), strict=True):
+            value = mix(mix(x.view(np.uint64) + n.astype(np.uint64)) + place.astype(np.uint64) * base)
             names.append(pa.array(mix(np.add.reduceat(value, begin) + size.astype(np.uint64)).view(np.int64)))
         parts = pa.StructArray.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5)], names=["edge", "path", "start", "n"])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(ids)]]).astype(np.int32)), parts)
@@ -210,7 +165,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compacted(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spans of chunks that a smaller document has, paths of the others).
+    """(``(a, b, whole, doc_id, row, start, n)`` of chunks that a smaller document has and of the others' paths, those chunks' sources).
 
     The smallest document that has a path has it in a chunk that no smaller document has, so the paths left still show it.
     """
@@ -218,51 +173,77 @@ def compacted(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = "chunk_a long, chunk_b long, doc_id long, row long, start int, n int, paths array<struct<edge: long, path: long, start: int, n: int>>"
     with common.batches_of(kept.sparkSession, 10_000):  # short rows
         chunks = common.stored(ordered.mapInArrow(_chunks, schema), "chunks")
-    low = chunks.groupBy("chunk_a", "chunk_b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("high > low")
-    low = common.stored(low.select("chunk_a", "chunk_b", "low"), "chunk-sources")
-    both = chunks.join(low, ["chunk_a", "chunk_b"], "left")
-    whole = chunks.drop("paths").join(low, ["chunk_a", "chunk_b"]).where("doc_id > low").select("doc_id", "row", F.struct("start", "n", F.lit(None).cast("long").alias("mask")).alias("span"))
-    rest = both.where("low is null or doc_id = low").select("doc_id", "row", F.explode("paths").alias("p")).select("p.edge", "p.path", "doc_id", "row", "p.start", "p.n")
-    return whole, common.stored(rest, "paths")
+    low = chunks.groupBy("chunk_a", "chunk_b").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at"), F.max("doc_id").alias("high")).where("high > at.doc_id")
+    low = common.stored(low.select("chunk_a", "chunk_b", "at"), "chunk-sources")
+    whole = F.col("doc_id") > F.col("at.doc_id")
+    one = F.struct(F.col("chunk_a").alias("edge"), F.col("chunk_b").alias("path"), "start", "n")
+    both = chunks.join(low, ["chunk_a", "chunk_b"], "left").select("doc_id", "row", F.coalesce(whole, F.lit(False)).alias("whole"), F.explode(F.when(whole, F.array(one)).otherwise(F.col("paths"))).alias("p"))
+    parts = common.stored(both.select(F.col("p.edge").alias("a"), F.col("p.path").alias("b"), "whole", "doc_id", "row", "p.start", "p.n"), "parts")
+    common.discard(chunks)
+    return parts, low.select(F.col("chunk_a").alias("a"), F.col("chunk_b").alias("b"), "at")
+
+
+def copies(keyed: DataFrame) -> DataFrame:
+    """``(doc_id, row)`` of rows whose text a smaller document has as well."""
+    names = common.stored(keyed.where("doc_id is not null and length(text) > 0").select("doc_id", "row", F.sha2("text", 256).alias("name")), "names")
+    first = names.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    out = common.stored(names.join(first, "name").where("doc_id > low").select("doc_id", "row").distinct(), "copies")
+    common.discard(names)
+    return out
 
 
 def removals(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(doc_id, row, spans)``; spans: (start, n, mask) of paths to remove, mask null for all their windows."""
+    """``(doc_id, row, spans)``; spans: (start, n, mask, words) of paths to remove, mask null for all their windows, words the source's digest."""
     spark = keyed.sparkSession
     if not 2 <= window - anchor + 1 <= 63 or anchor < 1:
         raise ValueError("window - anchor must be between 1 and 62")
-    found = path_rows(keyed.where("doc_id is not null"), window, anchor)
-    shared = found.groupBy("edge").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("edge")
-    shared = common.stored(shared, "edges")
+    gone = copies(keyed)
+    rest = keyed.where("doc_id is not null").join(gone, ["doc_id", "row"], "left_anti").select("doc_id", "row", "text")
+    found = common.stored(path_rows(rest, window, anchor), "found")
+    shared = common.stored(found.groupBy("edge").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("edge"), "edges")
     common.release(spark)
     kept = common.stored(found.join(shared, "edge", "left_semi"), "paths")
+    common.discard(found, shared)
+    common.release(spark)
+    parts, chunk_sources = compacted(kept)
+    common.discard(kept)
     common.release(spark)
-    whole, kept = compacted(kept)
-    classes = common.stored(kept.groupBy("edge", "path").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at"), F.max("doc_id").alias("high")), "classes")
-    branches = classes.groupBy("edge").count().where("count > 1").select("edge")
-    there = classes.join(branches, "edge", "left_semi").select("edge", "path", "at.*")
-    there = there.groupBy("doc_id", "row").agg(F.collect_list(F.struct("edge", "path", "start", "n")).alias("spans"))
-    first_rows = keyed.where("doc_id is not null").join(there, ["doc_id", "row"]).select("doc_id", "row", "text", "spans")
-    windows = common.stored(common.map_batches(first_rows, _branch_windows(window), "edge long, path long, place int, words long, doc_id long"), "windows")
+    classes = parts.where("not whole").groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at"), F.max("doc_id").alias("high"))
+    classes = common.stored(classes, "classes")
+    branches = common.stored(classes.groupBy("a").count().where("count > 1").select("a", F.lit(True).alias("branch")), "branches")
+    there = classes.join(branches, "a", "left").select("a", "b", "at", F.coalesce("branch", F.lit(False)).alias("branch"), "high").where("branch or high > at.doc_id").drop("high")
+    there = there.unionByName(chunk_sources.withColumn("branch", F.lit(False)))
+    there = there.groupBy("at.doc_id", "at.row").agg(F.collect_list(F.struct("a", "b", "at.start", "at.n", "branch")).alias("spans"))
+    sources = rest.join(there, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "spans")
+    read = common.stored(common.map_batches(sources, _at_sources(window), "a long, b long, place int, words binary, doc_id long"), "read")
     common.release(spark)
-    low = windows.groupBy("edge", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("edge", "words", "low")
-    masks = windows.join(low, ["edge", "words"]).where("low < doc_id").groupBy("edge", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
-    # stored, so that the join with the paths has two plain exchanges and Spark may split its large partitions
-    settled = classes.select("edge", "path", F.col("at.doc_id").alias("low"), "high").join(masks, ["edge", "path"], "left").where("high > low or mask is not null").drop("high")
-    settled = common.stored(settled, "settled")
+    windows = read.where("place >= 0")
+    low = windows.groupBy("a", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "words", "low")
+    masks = windows.join(low, ["a", "words"]).where("low < doc_id").groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+    names = read.where("place < 0").select("a", "b", F.col("doc_id").alias("low"), "words")
+    # stored, so that the join with the parts has two plain exchanges and Spark may split its large partitions
+    settled = common.stored(names.join(masks, ["a", "b"], "left"), "settled")
+    common.discard(read, classes, branches)
     common.release(spark)
-    out = kept.join(settled, ["edge", "path"]).where("doc_id > low or mask is not null")
-    out = out.select("doc_id", "row", F.struct("start", "n", F.when(F.col("doc_id") == F.col("low"), F.col("mask")).alias("mask")).alias("span"))
-    return out.unionByName(whole).groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans"))
+    out = parts.join(settled, ["a", "b"]).where("doc_id > low or mask is not null")
+    later = F.col("doc_id") > F.col("low")
+    out = out.select("doc_id", "row", F.struct("start", "n", F.when(~later, F.col("mask")).alias("mask"), F.when(later, F.col("words")).alias("words")).alias("span"))
+    every = F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("n"), F.lit(None).cast("long").alias("mask"), F.lit(None).cast("binary").alias("words"))
+    return out.unionByName(gone.select("doc_id", "row", every.alias("span"))).groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans"))
 
 
-def _cover(n_words: int, start: np.ndarray, count: np.ndarray, mask: list[int | None], window: int) -> np.ndarray:
+def _cover(words: list[bytes], spans: list[dict], window: int) -> np.ndarray:
     """Which words are removed."""
-    delta = np.zeros(n_words + 1, np.int32)
-    for s, n, m in zip(start.tolist(), count.tolist(), mask, strict=True):
-        if m is None:
-            delta[s] += 1
-            delta[s + n - 1 + window] -= 1
+    delta = np.zeros(len(words) + 1, np.int32)
+    for span in spans:
+        s, n, m = span["start"], span["n"], span["mask"]
+        if n == ALL:
+            if len(words) >= window:
+                delta[0] += 1
+        elif m is None:
+            if digest(words[s : s + n - 1 + window]) == span["words"]:
+                delta[s] += 1
+                delta[s + n - 1 + window] -= 1
         else:
             for o in range(n):
                 if m >> o & 1:
@@ -278,7 +259,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     common.small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    spans = common.stored(removals(keyed, window, anchor), "spans")
+    with common.owned() as made:
+        spans = common.stored(removals(keyed, window, anchor), "spans")
+    common.forget(docs.sparkSession, [p for p in made if p != spans._scratch])
     common.release(docs.sparkSession)
     added = ["n_words", "n_removed", "kept_sha256", *["kept_text"] * texts]
     others = [c for c in docs.columns if c not in added and (c != "text" or texts)]
@@ -301,8 +284,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             kept = words
             own = spans[i]
             if own.is_valid and words:
-                v = own.values
-                gone = _cover(len(words), v.field(0).to_numpy(), v.field(1).to_numpy(), v.field(2).to_pylist(), window)
+                gone = _cover(words, own.as_py(), window)
                 kept = list(compress(words, (~gone).tolist()))
             line = b" ".join(kept)
             n_words.append(len(words))

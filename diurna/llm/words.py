@@ -41,20 +41,19 @@ def both(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
     return mix(a * _ODD[level] + b * _ODD[level + 8])
 
 
-def runs(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each ``size`` consecutive words, by halves: powers of two first, then those that make up the size."""
-    n = len(hashes) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    out: np.ndarray | None = None
-    done, level, power = 0, 0, hashes
+def runs(hashes: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size the hash of each so many consecutive words, by halves: powers of two first, then those that make up the size."""
+    found: list[np.ndarray | None] = [None] * len(sizes)
+    done = [0] * len(sizes)
+    level, power = 0, hashes
     while True:
-        if size >> level & 1:
-            part = power[done : done + n]
-            out = part if out is None else both(out, part, level)
-            done += 1 << level
-        if done == size:
-            return mix(out + np.uint64(size))
+        for i, size in enumerate(sizes):
+            if size >> level & 1:
+                part = power[done[i] : max(0, len(hashes) - size + 1) + done[i]]
+                found[i] = part if found[i] is None else both(found[i], part, level)
+                done[i] += 1 << level
+        if all(d == size for d, size in zip(done, sizes, strict=True)):
+            return [mix(x + np.uint64(size)) for x, size in zip(found, sizes, strict=True)]
         step = 1 << level
         power = both(power[:-step], power[step:], level)
         level += 1
@@ -66,10 +65,10 @@ def shingle_sets(texts: list[bytes | None], shingle: int) -> list[np.ndarray]:
     size = [len(w) for w in cut]
     hashes = [word_hashes(w) for w in cut]
     at = np.concatenate([[0], np.cumsum(size)]).tolist()
-    all_runs = runs(np.concatenate(hashes), shingle) if hashes else np.zeros(0, np.uint64)
+    all_runs = runs(np.concatenate(hashes), shingle)[0] if hashes else np.zeros(0, np.uint64)
     out = []
     for i, n in enumerate(size):
-        own = all_runs[at[i] : at[i] + n - shingle + 1] if n >= shingle else runs(hashes[i], n) if n else hashes[i]
+        own = all_runs[at[i] : at[i] + n - shingle + 1] if n >= shingle else runs(hashes[i], n)[0] if n else hashes[i]
         own = np.sort(own)
         out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
     return out

@@ -40,6 +40,32 @@ def test_repetitive_text_and_repeated_rows(make_docs):
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
+def test_words_made_to_collide(make_docs):
+    """Words, and runs of words, that are equal under polynomials modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(512)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    around = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*around[:30], word, *around[30:]])) for k, word in enumerate((one, two))]
+    rows += [(k + 2, " ".join("ab"[b ^ k] for b in bits)) for k in (0, 1)]
+    got = substring.substring_dedup(make_docs([t for _, t in rows], [i for i, _ in rows]), texts=False)
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == sorted(brute(rows))
+    assert got.where("doc_id < 2 and n_removed > 0").count() == 0
+
+
+def test_equal_hashes_of_other_words_remove_nothing(make_docs, monkeypatch):
+    words = [f"w{i}" for i in range(80)]
+    span = {"start": 0, "n": 3, "mask": None, "words": substring.digest([w.encode() for w in words[:52]])}
+    assert substring._cover([w.encode() for w in words], [span], 50).sum() == 52
+    assert not substring._cover([w.upper().encode() for w in words], [span], 50).any()
+
+
+def test_copies_are_classes(make_docs):
+    long, short = " ".join(f"w{i}" for i in range(70)), "a few words"
+    rows = [(5, long), (5, long), (9, long), (7, long + " more"), (2, short), (3, short), (None, long), (11, "")]
+    got = substring.substring_dedup(make_docs([t for _, t in rows], [i for i, _ in rows]), texts=False)
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == sorted(brute(rows), key=str)
+
+
 def test_empty_table(make_docs):
     assert substring.substring_dedup(make_docs([])).count() == 0
 
