@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -109,6 +110,33 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
+    """What ``fit`` makes of a bounded table, in one task, so that the driver holds the result alone; None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(b.num_rows for b in held):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held).combine_chunks()))], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None
+
+
+def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a list column of one chunk."""
+    flat = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    offsets = np.asarray(flat.offsets)
+    return flat.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+@contextlib.contextmanager
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> Iterator[tuple[DataFrame, Callable[[DataFrame], DataFrame]]]:
+    """docs with columns of these names renamed, and what gives docs' own columns back."""
+    other = {c: f"own {i} {c}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    yield docs.withColumnsRenamed(other), lambda df: df.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

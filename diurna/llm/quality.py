@@ -5,7 +5,9 @@ in the features present. Words count once each, scaled to unit length; statistic
 logarithm, and whether it is missing) are dense features. The machine is fitted by AdaGrad on a bounded sample of labelled rows
 (``TRAIN_ROWS``); scoring is a map over all whole texts with the model (a fixed size) broadcast.
 
-Empty and null texts are scored like others, with no words. Without labels every score is 0.5.
+Empty and null texts are scored like others, with no words; very long texts are scored whole. Without labels every score is
+0.5. A score of 0.5 (a tie) predicts 1. Repeated rows get equal scores; of rows that repeat an id, or a text, one is learned
+from. A table without rows gives none. Columns of any other name play no part and, where documents are returned, stay.
 """
 
 from __future__ import annotations
@@ -93,15 +95,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         made = [featurize(t, n) for t, n in zip(common.raw_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in made], pa.list_(pa.float32()))], names=["y", "same", "at", "x"])
 
-    got = common.map_batches(sample, run, "y int, same long, at array<int>, x array<float>").toArrow()
-    if not got.num_rows:
-        return None
-    _, first = np.unique(got.column("same").to_numpy(), return_index=True)
-    got = got.take(pa.array(first))
-    xs, ats = got.column("x").to_pylist(), got.column("at").to_pylist()
-    machine = Machine((1 << BITS) + DENSE)
-    machine.fit([(np.array(a), np.array(x, np.float64)) for a, x in zip(ats, xs, strict=True)], got.column("y").to_numpy().astype(float))
-    return machine
+    def fit(got: pa.Table) -> Machine:
+        y, same = (got.column(c).to_numpy() for c in ("y", "same"))
+        order = np.lexsort((y, same))  # one row of each text, whatever order they came in
+        order = order[np.concatenate([[True], same[order][1:] != same[order][:-1]])]
+        (ats, at), (xs, _) = common.lists(got.column("at")), common.lists(got.column("x"))
+        machine = Machine((1 << BITS) + DENSE)
+        machine.fit([(ats[at[i] : at[i + 1]], xs[at[i] : at[i + 1]].astype(np.float64)) for i in order], y[order].astype(float))
+        machine.w, machine.v = machine.w.astype(np.float32), machine.v.astype(np.float32)
+        return machine
+
+    return common.fitted(common.map_batches(sample, run, "y int, same long, at array<int>, x array<float>"), fit)
 
 
 def score(docs: DataFrame, machine: Machine | None, keep: list[str] | None = None) -> DataFrame:
@@ -109,7 +113,7 @@ def score(docs: DataFrame, machine: Machine | None, keep: list[str] | None = Non
     spark = docs.sparkSession
     common.small_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    model = spark.sparkContext.broadcast(machine and (machine.b, machine.w.astype(np.float32), machine.v.astype(np.float32)))
+    model = spark.sparkContext.broadcast(machine and (machine.b, machine.w, machine.v))
     n = len(keep)
     has = "n_chars" in docs.columns
     rows = docs.select(*[F.col(c).alias(f"d_{i}") for i, c in enumerate(keep)], F.col("text").alias("t"), (F.col("n_chars").cast("long") if has else F.lit(None).cast("long")).alias("m"))
@@ -139,5 +143,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents predicted to be of good quality; all of them without labels."""
-    return score(docs, train(docs, labels, rows)).where("predicted = 1").select(docs.columns)
+    """The documents predicted to be of good quality, all of them without labels; docs' own columns of any name stay."""
+    machine = train(docs, labels, rows)
+    with common.set_aside(docs, ("score", "predicted")) as (plain, own):
+        return own(score(plain, machine).where("predicted = 1"))

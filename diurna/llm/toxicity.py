@@ -1,13 +1,19 @@
 """Toxicity by weak supervision: a generative label model over many voters, then a linear classifier on its posteriors.
 
-Voters look at a whole text and vote toxic, clean or nothing: a fixed lexicon, stems and words induced from the labelled sample
-(those whose presence among clean rows is too rare for chance), patterns of writing, and the annotator's label itself. The
-label model has, for each voter, the rates of its votes given the hidden class, estimated by expectation-maximisation;
-it also estimates how voters correlate given the class and discounts each vote by the correlated company it has. The
-posteriors then train a logistic regression over voters' signals and hashed words, which scores every document.
-
-The fit uses a bounded sample of labelled rows (``TRAIN_ROWS``), scoring is a map over all whole texts. Null and empty
-texts have no signals and get the score of a text without any. Without labels the lexicon alone decides.
+Voters look at a whole text and vote toxic, clean or nothing. Each word of a fixed lexicon is a voter; so is each word and stem
+induced from the labelled sample (those whose presence among clean rows is too rare for chance) and each pattern of writing;
+one voter votes clean where no word spoke. The annotators' labels aren't votes: they only name candidate words, and which of
+the two hidden classes is the toxic one.
+
+The label model has, for each voter, the rates of its votes given the hidden class, estimated by expectation-maximisation over
+the votes alone; it also estimates which voters correlate given the class and discounts each vote by the correlated company
+it has. Its posteriors then train a logistic regression over the voters' weighted sum, their kinds and hashed words, which scores
+every document.
+
+The fit uses a bounded sample of labelled rows (``TRAIN_ROWS``), scoring is a map over all whole texts, however long. Null and
+empty texts have no words and get the score of a text without any. Without labels the lexicon alone decides. A score of 0.5
+(a tie) predicts 1. Repeated rows get equal scores; of rows that repeat an id, or a text, one is learned from. A table without
+rows gives none. Columns of any other name play no part and, where documents are returned, stay.
 """
 
 from __future__ import annotations
@@ -95,53 +101,90 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / max(1, min(len(a), len(b)))
 
 
-def votes(rows: list[np.ndarray], patterns: np.ndarray, induced: np.ndarray, y: np.ndarray | None) -> np.ndarray:
-    """One row of votes (1 toxic, -1 clean, 0 none) for each text; the last column is the annotator's."""
-    hits = hit_counts(rows, induced)
-    found = hits.sum(axis=1)
-    lexicon = patterns[:, 0]
-    columns = [np.where(lexicon > 0, 1, -1), np.where(lexicon > 1, 1, 0)]
-    columns += [np.where(hits[:, k] > 0, 1, 0) for k in range(hits.shape[1])]
-    columns += [np.where(found > 1, 1, 0), np.where(found + lexicon > 0, 1, -1), np.where((patterns[:, 2] > 0) & (lexicon > 0), 1, 0)]
-    columns += [np.where(patterns[:, k] > 0, 1, 0) for k in (1, 3)]
-    columns.append(np.zeros(len(rows), int) if y is None else np.where(y > 0, 1, -1))
-    return np.stack(columns, axis=1)
+LEXICON_TERMS = np.unique([zlib.crc32(w.encode()) & ~3 for w in LEXICON])
+PATTERNS = (1, 2, 3)  # of a text's signals
 
 
-def hit_counts(rows: list[np.ndarray], induced: np.ndarray) -> np.ndarray:
-    """How many induced words and stems of each length a text has."""
-    out = np.zeros((len(rows), 4), np.int64)
-    if len(induced):
+def hits(rows: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in terms) of each term in each text."""
+    of, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(terms):
         for i, r in enumerate(rows):
-            if len(r):
-                at = np.minimum(np.searchsorted(induced, r), len(induced) - 1)
-                out[i] = np.bincount(r[induced[at] == r] & 3, minlength=4)
-    return out
+            at = np.minimum(np.searchsorted(terms, r), len(terms) - 1)
+            at = at[terms[at] == r]
+            of.append(np.full(len(at), i))
+            which.append(at)
+    return np.concatenate(of), np.concatenate(which)
 
 
-def label_model(v: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior that a row is toxic, accuracy of each voter), by expectation-maximisation over v."""
+def votes(rows: list[np.ndarray], patterns: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """One row of votes (1 toxic, -1 clean, 0 none) for each text: terms, patterns, and the voter for silence."""
+    v = np.zeros((len(rows), len(terms) + len(PATTERNS) + 1), np.float32)
+    v[hits(rows, terms)] = 1
+    v[:, len(terms) : -1] = patterns[:, PATTERNS] > 0
+    v[:, -1] = -1.0 * ~v[:, : len(terms)].any(axis=1)
+    return v
+
+
+class Voters:
+    """What the label model learned of each voter: accuracy, weight of a vote, and the share of it that correlation leaves."""
+
+    def __init__(self, accuracy: np.ndarray, odds: np.ndarray, strength: np.ndarray):
+        self.accuracy, self.odds, self.strength = accuracy, odds, strength
+
+
+def companions(v: np.ndarray, p: np.ndarray, least: float) -> np.ndarray:
+    """Correlation of each two voters' votes given the class, where it is at least ``least``; 0 elsewhere.
+
+    Voters of one kind of vote: from what the majority's classes p don't explain. Voters of both kinds: by agreement. Of three that
+    err independently, two agree as often as the product of their (centred) accuracies says, so each accuracy follows from
+    three agreements (the median over all threes), and what two agree beyond their product is correlation.
+    """
     n, m = v.shape
-    seen = [v == s for s in (-1, 0, 1)]
-    strength = np.ones(m)
-    p = np.clip((v @ np.ones(m)) / m + 0.5, 0.1, 0.9)
-    rates = np.zeros((2, 3, m))
+    mean = [(w @ v) / (w.sum() + 1e-9) for w in (1 - p, p)]
+    centred = v - np.outer(1 - p, mean[0]) - np.outer(p, mean[1])
+    centred /= np.sqrt((centred**2).mean(axis=0)) + 1e-6
+    out = (centred.T @ centred / n).astype(np.float64)
+    two = np.flatnonzero((v > 0).any(axis=0) & (v < 0).any(axis=0))
+    if len(two) >= 3:
+        w = v[:, two].astype(np.float64)
+        agree = (w.T @ w) / np.maximum(1, (w != 0).astype(float).T @ (w != 0))
+        k = len(two)
+        square = np.zeros(k)
+        for i in range(k):
+            others = [j for j in range(k) if j != i]
+            of = [agree[i, j] * agree[i, l] / agree[j, l] for j in others for l in others if j < l and abs(agree[j, l]) > 1e-3]
+            square[i] = np.clip(np.median(of) if of else 0.0, 0.0, 0.999)
+        by = np.sqrt(np.outer(square, square)) * np.sign(agree)
+        out[np.ix_(two, two)] = (agree - by) / np.maximum(1e-3, 1 - np.abs(by))
+    np.fill_diagonal(out, 0)
+    return np.where(out > least, np.minimum(out, 1), 0)
+
+
+def label_model(v: np.ndarray, rounds: int = 20, least: float = 0.1) -> tuple[np.ndarray, Voters]:
+    """(posterior that a row is toxic, voters), by expectation-maximisation over the votes v. Voters that say nothing add nothing.
+
+    ``least``: correlations below it are taken for noise.
+    """
+    n, m = v.shape
+    up, down = (v > 0).astype(np.float32), (v < 0).astype(np.float32)
+    spoke = up + down
+    balance = v.sum(axis=1)
+    p = np.where(balance > 0, 0.98, np.where(balance < 0, 0.02, 0.5))
+    company = companions(v, p, least)
     for _ in range(rounds):
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
+        rate = {}
         for c, weight in ((0, 1 - p), (1, p)):
-            for k in range(3):
-                rates[c, k] = (weight @ seen[k] + 0.5) / (weight.sum() + 1.5)
-        odds = np.log(rates[1] / rates[0])
-        each = sum(seen[k] * odds[k] for k in range(3))
-        # correlation of votes given the class, and the discount for correlated company
-        centred = v - (p[:, None] * (rates[1, 2] - rates[1, 0]) + (1 - p)[:, None] * (rates[0, 2] - rates[0, 0]))
-        scale = np.sqrt((centred**2).mean(axis=0)) + 1e-6
-        together = (centred / scale).T @ (centred / scale) / n
-        np.fill_diagonal(together, 0)
-        strength = 1 / (1 + np.clip(together, 0, 1).sum(axis=1))
-        p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + each @ strength, -30, 30)))
-    accuracy = np.array([((v[:, j] > 0) * p + (v[:, j] < 0) * (1 - p)).sum() / max(1, (v[:, j] != 0).sum()) for j in range(m)])
-    return p, accuracy
+            total = weight.sum() + 1.0
+            rate[c, 1], rate[c, -1] = ((weight @ x + 0.5 * total / n) / total for x in (up, down))
+        odds_up, odds_down = np.log(rate[1, 1] / rate[0, 1]), np.log(rate[1, -1] / rate[0, -1])
+        share = spoke / (1 + spoke @ company)  # a vote counts less for each correlated voter that spoke as well
+        margin = ((up * odds_up + down * odds_down) * share).sum(axis=1)
+        p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + margin, -30, 30)))
+    n_votes = np.maximum(1, spoke.sum(axis=0))
+    odds = np.where(up.sum(axis=0) >= down.sum(axis=0), odds_up, odds_down)
+    return p, Voters((p @ up + (1 - p) @ down) / n_votes, odds, share.sum(axis=0) / n_votes)
 
 
 class Linear:
@@ -176,19 +219,28 @@ class Linear:
                 self.w[places] -= step * dw / np.sqrt(gw[places])
 
 
+DENSE = 4 + len(PATTERNS)
+
+
 class Model:
-    """Induced words and stems, and the classifier."""
+    """Terms with the weights of their votes, and the classifier."""
+
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, linear: Linear, voters: Voters | None = None):
+        self.terms, self.weights, self.linear, self.voters = terms, weights, linear, voters
 
-    def __init__(self, induced: np.ndarray, linear: Linear, accuracy: np.ndarray):
-        self.induced, self.linear, self.accuracy = induced, linear, accuracy
+    def dense(self, rows: list[np.ndarray], patterns: np.ndarray) -> np.ndarray:
+        """The classifier's inputs beside words: the terms' weighted sum, whether any and whether several spoke, lexicon, patterns."""
+        of, which = hits(rows, self.terms)
+        total = np.bincount(of, self.weights[which], len(rows)) if len(of) else np.zeros(len(rows))
+        n = np.bincount(of, minlength=len(rows))
+        return np.column_stack([np.clip(total / 5, -2, 2), n > 0, n > 1, patterns[:, 0] > 0, patterns[:, PATTERNS] > 0]).astype(float)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         made = [signals(t) for t in texts]
         rows, patterns = [m[0] for m in made], np.stack([m[1] for m in made])
-        v = votes(rows, patterns, self.induced, None)[:, :-1]
-        margins = np.array([self.linear.margin(d, places(r)) for d, r in zip(v, rows, strict=True)])
+        margins = np.array([self.linear.margin(d, places(r)) for d, r in zip(self.dense(rows, patterns), rows, strict=True)])
         return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
 
 
@@ -197,18 +249,22 @@ def places(row: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], patterns: np.ndarray, y: np.ndarray) -> Model:
-    induced = induce(rows, y)
-    v = votes(rows, patterns, induced, y)
-    p, accuracy = label_model(v)
-    linear = Linear(v.shape[1] - 1)
-    linear.fit(v[:, :-1].astype(float), [places(r) for r in rows], p)
-    return Model(induced, linear, accuracy)
+    terms = np.union1d(induce(rows, y), LEXICON_TERMS)
+    v = votes(rows, patterns, terms)
+    terms, v = terms[(spoke := v[:, : len(terms)].any(axis=0))], v[:, np.concatenate([spoke, np.ones(v.shape[1] - len(terms), bool)])]
+    p, voters = label_model(v)
+    if y.std() and ((p - p.mean()) * (y - y.mean())).sum() < 0:  # the labels say which class is which
+        p, voters.odds = 1 - p, -voters.odds
+    linear = Linear(DENSE)
+    model = Model(terms, (voters.odds * voters.strength)[: len(terms)], linear, voters)
+    linear.fit(model.dense(rows, patterns), [places(r) for r in rows], p)
+    return model
 
 
 def lexicon_only() -> Model:
-    linear = Linear(votes([np.zeros(0, np.int64)], np.zeros((1, 5)), np.zeros(0, np.int64), None).shape[1] - 1)
-    linear.d[0] = 3.0
-    return Model(np.zeros(0, np.int64), linear, np.zeros(0))
+    linear = Linear(DENSE)
+    linear.b, linear.d[3] = -1.0, 3.0
+    return Model(LEXICON_TERMS, np.zeros(len(LEXICON_TERMS)), linear)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -220,13 +276,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         made = [signals(t) for t in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.uint32).view(np.int32) for a, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float64()))], names=["y", "same", "at", "x"])
 
-    got = common.map_batches(sample, run, "y int, same long, at array<int>, x array<double>").toArrow()
-    if not got.num_rows:
-        return lexicon_only()
-    _, first = np.unique(got.column("same").to_numpy(), return_index=True)
-    got = got.take(pa.array(first)).combine_chunks()
-    at = [x.values.to_numpy().view(np.uint32).astype(np.int64) if len(x.values) else np.zeros(0, np.int64) for x in got.column("at").chunk(0)]
-    return fit(at, np.array(got.column("x").to_pylist()), got.column("y").to_numpy().astype(float))
+    def learn(got: pa.Table) -> Model:
+        y, same = (got.column(c).to_numpy() for c in ("y", "same"))
+        order = np.lexsort((y, same))  # one row of each text, whatever order they came in
+        order = order[np.concatenate([[True], same[order][1:] != same[order][:-1]])]
+        (ats, at), (xs, _) = common.lists(got.column("at")), common.lists(got.column("x"))
+        return fit([ats[at[i] : at[i + 1]].view(np.uint32).astype(np.int64) for i in order], xs.reshape(len(y), -1)[order], y[order].astype(float))
+
+    return common.fitted(common.map_batches(sample, run, "y int, same long, at array<int>, x array<double>"), learn) or lexicon_only()
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -257,5 +314,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents not predicted to be toxic."""
-    return score(docs, train(docs, labels, rows)).where("predicted = 0").select(docs.columns)
+    """The documents not predicted to be toxic; docs' own columns of any name stay."""
+    model = train(docs, labels, rows)
+    with common.set_aside(docs, ("score", "predicted")) as (plain, own):
+        return own(score(plain, model).where("predicted = 0"))

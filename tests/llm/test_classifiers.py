@@ -81,10 +81,40 @@ def test_without_labels_or_documents(spark, make_docs):
 
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(0)
-    y = r.random(4000) < 0.3
-    right = [0.9, 0.8, 0.7, 0.6, 0.9]
-    v = np.stack([np.where(r.random(4000) < p, np.where(y, 1, -1), np.where(y, -1, 1)) for p in right], axis=1)
+    y = r.random(6000) < 0.3
+    right = np.array([0.9, 0.8, 0.7, 0.75, 0.9, 0.85])
+    v = np.stack([np.where(r.random(6000) < p, np.where(y, 1, -1), np.where(y, -1, 1)) for p in right], axis=1).astype(np.float32)
     v[:, 4] = v[:, 0]  # a copy: fully correlated
-    p, accuracy = toxicity.label_model(v)
-    assert ((p > 0.5) == y).mean() > 0.85
-    assert np.all(np.diff(accuracy[:4]) < 0)
+    v[r.random(v.shape) < 0.2] = 0
+    p, voters = toxicity.label_model(v)
+    assert ((p > 0.5) == y).mean() > 0.9
+    assert np.allclose(voters.accuracy, right, atol=0.04)
+    assert voters.strength[0] < 0.7 and voters.strength[4] < 0.7 and (voters.strength[[1, 2, 3, 5]] > 0.8).all()
+
+
+def test_each_term_is_a_voter(spark, make_docs):
+    docs, labels, _ = labelled(make_docs, spark)
+    model = toxicity.train(docs, labels)
+    assert len(model.terms) == len(model.weights) > 1 and len(model.voters.accuracy) == len(model.terms) + len(toxicity.PATTERNS) + 1
+
+
+def test_own_columns_of_clashing_names_stay(spark, make_docs):
+    docs, labels, _ = labelled(make_docs, spark, 200)
+    docs = docs.withColumn("score", docs.doc_id * 7.0).withColumnRenamed("source", "predicted")
+    for f in (quality.keep_good, toxicity.keep_clean):
+        got = f(docs, labels)
+        assert got.columns == docs.columns and all(x.score == (None if x.doc_id is None else x.doc_id * 7.0) and x.predicted == "s" for x in got.collect())
+
+
+def brute_margin(m, text, n_chars):
+    """The machine's sum over all pairs, from features built here."""
+    at, x = quality.featurize(text, n_chars)
+    return m.b + sum(m.w[i] * v for i, v in zip(at, x)) + sum(m.v[at[i]] @ m.v[at[j]] * x[i] * x[j] for i in range(len(at)) for j in range(i))
+
+
+def test_quality_scores_by_all_pairs(spark, make_docs):
+    docs, labels, _ = labelled(make_docs, spark, 120)
+    machine = quality.train(docs, labels)
+    want = {r.doc_id: 1 / (1 + np.exp(-brute_margin(machine, (r.text or "").encode(), r.n_chars))) for r in docs.where("doc_id < 10").collect()}
+    got = {r.doc_id: r.score for r in quality.score(docs.where("doc_id < 10"), machine, ["doc_id"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in got)
