@@ -50,7 +50,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(common.read_table(spark, sf_dir, "documents"))
+    return pack_tokens(common.read_table(spark, sf_dir, "documents"))
+
+
+def pack_tokens(docs: DataFrame) -> DataFrame:
+    """docs packed by their numbers of tokens, each with one for its end."""
+    return packing.pack(tokens.lengths(docs, tokenizer_path(BYTE_BPE)), F.col("n_tokens"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

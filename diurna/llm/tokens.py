@@ -231,6 +231,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, parts:
     return spark.createDataFrame([(*s, b) for s, b in zip(sizes, bases, strict=False)], "part long, name string, n_docs long, n_tokens long, base long")
 
 
+def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``(doc_id, n_tokens)`` of each row: its ids and one for its end; 0 for a null or empty text."""
+    common.small_batches(docs.sparkSession, 1000)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code = encoder(tokenizer)
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        n = [len(line) // code.width + 1 if t else 0 for t, line in zip(texts, code.encode(texts), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return common.map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long")
+
+
 def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of each document, from the files."""
     parts = manifest.repartition(max(1, manifest.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
