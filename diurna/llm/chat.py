@@ -6,11 +6,14 @@ chooses for each turn the cheapest of: keep it; relabel it; merge it into the tu
 Roles are read in lower case without spaces around; other roles than the three, and null, fit none and cost a relabel.
 
 Each turn is a small matrix of costs between states, and (min, +) products of such matrices are associative. So a conversation is cut
-into segments of ``SEGMENT`` turn numbers that any task may handle: one pass gives each segment's matrix, a second
-chooses the states between segments (one tiny matrix for each), and a third repairs and renders each segment. A segment's rendering
-continues the last one's, so a conversation's text is its segments' end to end, however long it is.
-
-Rows with a null conv_id take no part. Null texts are empty. Repeated rows are turns like others.
+into segments of at most ``SEGMENT`` rows that any task may handle. Rows are sorted by ranges over all tasks, whatever their turn
+numbers are, so a long conversation, or one with a single turn number, is spread over tasks as well; a task counts its rows into
+segments and gives each one's matrix. A second pass chooses the states between segments (one tiny matrix for each), and a third
+repairs and renders each segment. A segment's rendering continues the last one's, so a conversation's text is its segments' end
+to end, however long it is.
+
+Rows with a null conv_id take no part. Null texts are empty, very long ones are whole. Repeated rows are turns like others. A
+table without rows gives none. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -165,25 +168,50 @@ def format_chat(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
     cost is the segment's (the last one's with closing), roles are those of the turns it opens.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim(F.coalesce("role", F.lit("")))).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    part = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 62))).cast("long")
-    rows = rows.where("conv_id is not null").select("conv_id", part.alias("part"), "turn", "role", "text")
+    role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their segment and place in it; a segment's last row has its matrix."""
+        from pyspark import TaskContext
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = (TaskContext.get().partitionId() << 32) - 1
         known: dict[tuple[str, ...], list[float]] = {}
-        for group in blocks(runs(batches)):
-            found = []
-            for _, (_, _, _, roles) in group:
-                key = tuple(map(clean, roles))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = cost_matrix(list(key)).ravel().tolist()
-                found.append(known[key])
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in group]), pa.array([k[1] for k, _ in group]), pa.array(found, pa.list_(pa.float64()))], names=["conv_id", "part", "m"])
-
-    turns = rows.select("conv_id", "part", "turn", "role").repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role")
-    costs = turns.mapInArrow(matrices, "conv_id long, part long, m array<double>")
+        last: tuple | None = None  # the row that is held back: it may be a segment's last
+        roles: list[str] = []
+
+        def matrix() -> list[float]:
+            key = tuple(roles)
+            if key not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                known[key] = cost_matrix(list(key)).ravel().tolist()
+            return known[key]
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "part", "place", "role", "text", "m"])
+
+        for batch in batches:
+            out = []
+            for conv, _, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = last is None or last[0] != conv or len(roles) == segment
+                if last is not None:
+                    out.append((*last, matrix() if new else None))
+                if new:
+                    part += 1
+                    roles = []
+                last = (conv, part, len(roles), own, text)
+                roles.append(clean(own))
+            if out:
+                yield batch_of(out)
+        if last is not None:
+            yield batch_of([(*last, matrix())])
+
+    order = ("conv_id", "turn", "role", "text")
+    turns = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    turns = common.stored(turns.mapInArrow(cut, "conv_id long, part long, place int, role string, text string, m array<double>"), "turns")
+    costs = turns.where("m is not null").select("conv_id", "part", "m")
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, *_), (_, parts, ms) in runs(batches, 1):
@@ -207,8 +235,8 @@ def format_chat(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "segment", "n_segments", "n_turns", "cost", "n_changed", "roles", "rendered"])
 
     schema = "conv_id long, segment long, n_segments long, n_turns long, cost double, n_changed long, roles array<string>, rendered string"
-    whole = rows.join(chosen, ["conv_id", "part"]).select("conv_id", "part", "turn", "role", "text", "segment", "n_segments", "before", "after")
-    return whole.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text").mapInArrow(finish, schema)
+    whole = turns.join(chosen, ["conv_id", "part"]).select("conv_id", "part", "place", "role", "text", "segment", "n_segments", "before", "after")
+    return whole.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "place").mapInArrow(finish, schema)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[tuple[tuple, list[list]]]:
