@@ -10,7 +10,8 @@ verified by the plain cosine in double precision.
 
 A pair of tiles returns a link count for each class and a star forest, not its links. Vectors that are null, empty, zero or
 hold null or non-finite components, and rows without id or label, link with nothing. Rows that repeat an id are rows
-like others for the counts and one node of the graph.
+like others for the counts and one node of the graph. A cosine equal to the threshold (a tie) links. A table without rows
+gives none; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -127,9 +128,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     placed = common.stored(placed, "cells")
     parts = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     tiles = placed.join(parts, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("class", "node"), F.col("parts")).cast("int"))
-    tiles = common.stored(tiles.groupBy("label", "dim", "cell", "part").agg(F.collect_list(F.struct("class", "node", "n", "v")).alias("rows")), "tiles")
+    # dealt by part as well: a frequent cell's tiles are as many tasks' work
+    place = ["label", "dim", "cell", "part"]
+    tiles = tiles.repartition(*place).groupBy(*place).agg(F.collect_list(F.struct("class", "node", "n", "v")).alias("rows"), F.first("parts").alias("parts"))
+    tiles = common.stored(tiles, "tiles")
     there = tiles.select("label", "dim", F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.col("rows").alias("rows_a"), F.explode(F.sequence(F.col("cell"), F.col("cell") + reach)).alias("cell"))
-    pairs = there.join(tiles, ["label", "dim", "cell"]).where("cell > cell_a or part >= part_a").select("dim", "rows_a", "rows", ((F.col("cell") == F.col("cell_a")) & (F.col("part") == F.col("part_a"))).alias("same"))
+    sizes = tiles.select("label", "dim", "cell", "parts").distinct()
+    there = there.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").where("cell > cell_a or part >= part_a")
+    pairs = there.join(tiles.drop("parts"), place).select("dim", "rows_a", "rows", ((F.col("cell") == F.col("cell_a")) & (F.col("part") == F.col("part_a"))).alias("same"))
 
     def unpack(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
         s = rows.values

@@ -50,6 +50,13 @@ def test_near_duplicates(spark, tile):
     assert sorted(map(tuple, got.collect()), key=str) == brute_links(rows)
 
 
+def test_clashing_column_names(spark):
+    rows = [(*r, 1, 2, 3) for r in vectors(120)]
+    v = spark.createDataFrame(rows, ROWS + ", cell int, q int, part int")
+    assert sorted(map(tuple, embeddings.near_duplicates(v, 0.98).collect()), key=str) == brute_links([r[:3] for r in rows])
+    assert sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0")).collect())) == brute_top([r[:3] for r in rows])
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], ROWS)).count() == 0
     assert topk.top_k(v := spark.createDataFrame([], ROWS), v).count() == 0
@@ -60,21 +67,21 @@ def brute_top(rows, k=5):
     out = []
     for i, q in {i: q for i, q in ok if i % 50 == 0}.items():
         best = sorted((-int(sum(q * v)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
-        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        out += [(i, n + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, j) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16384, 37])
-def test_top_k(spark, block):
-    rows = [r for r in vectors() if r[0] != 2010] + [(3000 + i, [0.0] * 40, 0) for i in range(3)] + [(5000, [0.1, 3.0], 1)]
+@pytest.mark.parametrize(("block", "tile"), [(16384, 8192), (37, 3)])
+def test_top_k(spark, block, tile):
+    rows = vectors() + [(2012, [1e30] * 20 + [-3e30] * 20, 1), (4000, [1e30] * 40, 2), (4050, [3.4e38] * 39 + [-3.4e38], 2), (4051, [5e16] * 40, 2)] + [(3000 + i, [0.0] * 40, 0) for i in range(3)] + [(5000, [0.1, 3.0], 1)]
     v = spark.createDataFrame(rows, ROWS)
-    assert sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0"), 5, 256, block).collect())) == brute_top(rows)
+    assert sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0"), 5, 256, block, tile).collect())) == brute_top(rows)
 
 
 def test_large_components_stay_exact():
     ids = np.arange(50)
     rows = np.random.default_rng(0).integers(-(1 << 28), 1 << 28, (50, 8))
     lists = topk.Lists(ids, rows)
-    got, scores = lists.top(3, rows[3], 5)
+    got, scores = lists.top(3, rows[3].astype(float), 5)
     want = sorted((-int(sum(int(a) * int(b) for a, b in zip(rows[3], v, strict=True))), i) for i, v in enumerate(rows) if i != 3)[:5]
     assert [(-s, i) for i, s in zip(got.tolist(), scores.tolist(), strict=True)] == want

@@ -1,9 +1,11 @@
 import os
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from diurna.llm import common, quality, toxicity
+from diurna.llm.queries import BYTE_BPE, tokenizer_path
 
 from .test_simhash import brute_similar
 from .test_substring import brute
@@ -40,7 +42,8 @@ def test_stages_against_brute_force(spark):
             assert got[d].text == t if not gone else len(got[d].text.encode().split()) == n - gone
     packed = corpus_pipeline.pack(spark, docs, DATA).collect()
     assert {r.doc_id for r in packed} == set(got)
-    assert sum(r.length for r in packed) == sum(len(r.text.encode().split()) + 1 if r.text else 0 for r in got.values())
+    library = Tokenizer.from_file(tokenizer_path(BYTE_BPE))
+    assert sum(r.length for r in packed) == sum(len(library.encode(r.text, add_special_tokens=False).ids) + 1 if r.text else 0 for r in got.values())
 
 
 def test_run_equals_the_stages(spark):
@@ -55,3 +58,17 @@ def test_stages_on_nulls_and_nothing(spark, make_docs, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = common.stored(stage(spark, docs, str(tmp_path)), "test")
         docs.collect()
+
+
+def test_clashing_columns_pass_all_stages_but_the_last(spark, make_docs, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    words = " ".join(f"w{i}" for i in range(90))
+    docs = make_docs([words, "x " + words + " " + words[:200], None])
+    for name in ("score", "predicted", "n_words", "n_removed", "kept_sha256", "kept_text", "id", "row", "spans"):
+        docs = docs.withColumn(name, docs.doc_id * 7.5)
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == columns
+        assert all(r[c] == r.doc_id * 7.5 for r in docs.collect() for c in columns[5:])
+    assert docs.count() == 3 and docs.where("doc_id = 1").first().text.startswith("x")
