@@ -17,7 +17,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import common, packing, quality, similar, substring, toxicity
+from diurna.llm import common, quality, queries, similar, substring, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _LEFT: list[str] = []  # folders that earlier stages stored
@@ -67,16 +67,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @_tidy
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has go; documents with nothing left go as well."""
-    cut = substring.substring_dedup(docs)
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.where("n_removed < n_words or n_words = 0").select(*[text.alias("text") if c == "text" else F.when(changed, F.length("kept_text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    added = ("n_words", "n_removed", "kept_sha256", "kept_text")
+    with common.set_aside(docs, added) as (plain, own):
+        cut = substring.substring_dedup(plain).where("n_removed < n_words or n_words = 0")
+        changed = F.col("n_removed") > 0
+        cut = cut.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+        if "n_chars" in docs.columns:
+            cut = cut.withColumn("n_chars", F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long"))
+        return own(cut.drop(*added))
 
 
 @_tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces with their bins."""
-    return packing.pack(docs)
+    """Each document's pieces, in tokens, with their bins."""
+    return queries.pack_tokens(docs)
 
 
 STAGES = [
