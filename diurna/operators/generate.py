@@ -139,12 +139,18 @@ def trapezoid(h: np.ndarray, start: float, end: float, ramp: float) -> np.ndarra
 
 
 def recursion(x: np.ndarray, a: float) -> np.ndarray:
-    """y[i] = a y[i - 1] + x[i]."""
-    out = np.empty_like(x)
+    """y[i] = a y[i - 1] + x[i], block by block: in a block y[i] / a^i is a running sum."""
+    if a == 0:
+        return x.astype(float)
+    block = max(1, min(1024, int(200 / -math.log(a)) if a < 1 else 1024))
+    powers = a ** np.arange(block + 1)
+    out = np.empty(len(x))
     y = 0.0
-    for i, v in enumerate(x.tolist()):
-        y = a * y + v
-        out[i] = y
+    for k in range(0, len(x), block):
+        part = x[k : k + block]
+        n = len(part)
+        out[k : k + n] = powers[:n] * np.cumsum(part / powers[:n]) + y * powers[1 : n + 1]
+        y = out[k + n - 1]
     return out
 
 

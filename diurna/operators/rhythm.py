@@ -112,9 +112,10 @@ def scalogram(x: np.ndarray, dt: float, omega0: float = 6.0, low: float = 0.5, h
 
 
 def spectral_weights(spark, n: int, dt: float, omega0: float, low: float, high: float, voices: int, band: tuple[float, float]) -> DataFrame:
-    """``(k, w_total, w_band)`` for positive bins; n / 2 rows at most, a fixed size for a window length."""
+    """``(k, w_total, w_band)`` for positive bins that weigh at all; n / 2 rows at most, a fixed size for a window length."""
     total, inside = band_weights(n, dt, omega0, low, high, voices, *band)
-    return spark.createDataFrame([(k, float(total[k]), float(inside[k])) for k in range(1, n // 2 + 1)], "k int, w_total double, w_band double")
+    rows = [(k, float(total[k]), float(inside[k])) for k in range(1, n // 2 + 1) if total[k] > 1e-12 * total.max()]
+    return spark.createDataFrame(rows, "k int, w_total double, w_band double")
 
 
 def band_index_sql(filled: DataFrame, n: int, dt: float = 1.0, omega0: float = 6.0, low: float = 2.0, high: float = 48.0, voices: int = 8, band: tuple[float, float] = (20.0, 28.0)) -> DataFrame:
@@ -190,6 +191,18 @@ def scalogram_rows(filled: DataFrame, dt: float = 1.0, omega0: float = 6.0, low:
     return filled.groupBy(*KEY, "window_end").applyInPandas(run, "patient_id string, signal_type string, window_end timestamp, period double, i int, power double")
 
 
+def global_spectrum(filled: DataFrame, dt: float = 1.0, omega0: float = 6.0, low: float = 2.0, high: float = 48.0, voices: int = 8) -> DataFrame:
+    """``(patient_id, signal_type, window_end, period, power)``: a scalogram's mean over time, without it: by Parseval, from one transform."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values("i")["x"].to_numpy()
+        periods, psi = bank(len(x), dt, omega0, low, high, voices)
+        power = (np.abs(np.fft.fft(x - x.mean())[None, :] * psi) ** 2).sum(axis=1) / len(x) ** 2
+        return pd.DataFrame({"patient_id": key[0], "signal_type": key[1], "window_end": key[2], "period": periods, "power": power})
+
+    return filled.groupBy(*KEY, "window_end").applyInPandas(run, "patient_id string, signal_type string, window_end timestamp, period double, power double")
+
+
 def series_scalogram(base: DataFrame, seconds: int = 60, omega0: float = 6.0, low: float = 0.5, high: float = 48.0, voices: int = 8, columns: int = 900, least: int = 60) -> DataFrame:
     """``(patient_id, signal_type, window_end, period, i, power)`` of each whole series of at least ``least`` base windows.
 

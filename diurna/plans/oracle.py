@@ -122,6 +122,8 @@ _BODIES = {
  from (select *, case when ramp <= 0 then 1.0 when hh < a + ramp then (hh - a) / ramp when hh > z - ramp then (z - hh) / ramp else 1.0 end as p from truth, (select unnest(range(0, 720)) as hh) where hh >= a and hh < z) group by {_K}, hh""",
     "upsert": "select patient_id, signal_type, day, n, case when signal_type = 'view' then top + 1 else top end as top from (select patient_id, signal_type, strftime(epoch_ms(t), '%Y-%m-%d') as day, count(*) as n, round(max(value), 4) as top from s group by all union all select patient_id, 'tap', strftime(epoch_ms(t), '%Y-%m-%d'), count(*), round(max(value), 4) from s where signal_type = 'click' group by all)",
     "insert_absent": "select distinct patient_id, signal_type from s where signal_type = 'view'",
+    "stream_metrics": f"select {_K}, method, {_E}, {_r('mesor', 'amplitude', 'r2', 'cri', 'is_stability', 'iv_variab')} from met, (select max(t) - 5000 as mark from s) where e * 3600000 <= mark",
+    "golden_spectra": "select period, " + ", ".join(f"round(max(power) filter (signal_type = '{n}'), 3) as {n}" for n, *_ in EVENT_SIGNALS) + " from (select *, max(e) over (partition by signal_type) as l from spec where patient_id = 'P0001') where e = l group by period",
     "stream_tumbling": f"select {_K}, {_H}, n, {_r('median', 'sd', 'completeness')} from h where (hr + 1) * 3600000 <= (select max(t) - 5000 from s)",
 }
 

@@ -94,10 +94,19 @@ def long_windows(spark: SparkSession, d: str) -> DataFrame:
     return _long(spark, d).select(*KEY, ms("window_end"), *r4("cri", "is_stability", "iv_variab"))
 
 
+def _spectra(filled: DataFrame) -> DataFrame:
+    return rhythm.global_spectrum(filled).select(*KEY, ms("window_end"), F.round("period", 6).alias("period"), F.round("power", 3).alias("power"))
+
+
 def scalogram(spark: SparkSession, d: str) -> DataFrame:
-    """Global spectrum of each long window: mean power over time for each period (from the full scalogram)."""
-    rows = rhythm.scalogram_rows(_filled(spark, d), columns=10_000)
-    return rows.groupBy(*KEY, "window_end", "period").agg(F.avg("power").alias("power")).select(*KEY, ms("window_end"), F.round("period", 6).alias("period"), F.round("power", 3).alias("power"))
+    """Global spectrum of each long window: mean power over time for each period."""
+    return _spectra(_filled(spark, d))
+
+
+def _last_filled(spark: SparkSession, d: str) -> DataFrame:
+    """The last long window of each series."""
+    filled = _filled(spark, d)
+    return filled.join(filled.groupBy(*KEY).agg(F.max("window_end").alias("window_end")), [*KEY, "window_end"])
 
 
 def spectrum_share(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +118,7 @@ def spectrum_share(spark: SparkSession, d: str) -> DataFrame:
 
 def spectrum_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of each series' last spectrum with the patient's other signals' ones."""
-    s = scalogram(spark, d)
-    last = s.join(s.groupBy(*KEY).agg(F.max("window_end").alias("window_end")), [*KEY, "window_end"])
+    last = _spectra(_last_filled(spark, d))
     a, b = last.alias("a"), last.alias("b")
     pairs = a.join(b, (F.col("a.patient_id") == F.col("b.patient_id")) & (F.col("a.period") == F.col("b.period")) & (F.col("a.signal_type") < F.col("b.signal_type")))
     return pairs.groupBy(F.col("a.patient_id").alias("patient_id"), F.col("a.signal_type").alias("signal_a"), F.col("b.signal_type").alias("signal_b")).agg(F.round(F.corr("a.power", "b.power"), 3).alias("shape_corr"))
@@ -349,25 +357,63 @@ def period_grid(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.posexplode(S.log_grid(2.0, 48.0, 8)).alias("j", "period")).select("j", F.round("period", 6).alias("period"))
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a watermarked stream of samples."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")  # a pattern matches one file as well as a folder of them
+    s = e.select(S.patient_name((F.col("user_id") % 2 + 1).cast("int")).alias("patient_id"), F.col("event_type").alias("signal_type"), F.col("ts").cast("timestamp").alias("timestamp"), "value", F.lit("count").alias("unit"))
+    return s.withWatermark("timestamp", "5 seconds")
+
+
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """The stream's base windows, over the events in one run: all that the final watermark has passed."""
     import uuid
 
     at = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    e = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")  # a pattern matches one file as well as a folder of them
-    s = e.select(S.patient_name((F.col("user_id") % 2 + 1).cast("int")).alias("patient_id"), F.col("event_type").alias("signal_type"), F.col("ts").cast("timestamp").alias("timestamp"), "value", F.lit("count").alias("unit")).withWatermark("timestamp", "5 seconds")
+    s = _event_stream(spark, d)
     base = rhythm.tumbling(validate.valid(s, _signals(spark)), HOUR, 3).select(*KEY, "window_start", "n", "median", "sd", "completeness")
     q = base.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(base.schema).parquet(f"{at}/out").select(*KEY, ms("window_start"), "n", *r4("median", "sd", "completeness"))
 
 
+def golden_spectra(spark: SparkSession, d: str) -> DataFrame:
+    """The last spectrum of each of a patient's signals, written as golden CSV, read again and pivoted: a column for each signal."""
+    import uuid
+
+    rows = _spectra(_last_filled(spark, d).where("patient_id = 'P0001'")).select(F.col("signal_type").alias("signal"), "period", "power")
+    index = rows.groupBy("signal").agg((F.sum(F.when(F.col("period").between(20, 28), F.col("power")).otherwise(0.0)) / F.sum("power")).alias("cri"))
+    at = f"{shared_root(spark)}/golden-{uuid.uuid4().hex}"
+    for name, text in zip(("spectrum", "cri"), sinks.golden_csv(rows, index), strict=True):
+        text.write.option("header", True).csv(f"{at}/{name}")
+    wide, _ = vitals.golden(spark, f"{at}/spectrum", f"{at}/cri")
+    return wide.select(F.round("period", 6).alias("period"), *[F.round(n, 3).alias(n) if n in wide.columns else F.lit(None).cast("double").alias(n) for n, *_ in vitals.EVENT_SIGNALS])
+
+
+def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The whole streaming job over the events in one run: the stored metrics of the three methods."""
+    import uuid
+
+    from diurna.schema import Settings
+    from diurna.streaming import job
+
+    at = f"{shared_root(spark)}/job-{uuid.uuid4().hex}"
+    settings = Settings(window_seconds=HOUR, cwt_days=DAYS, cwt_min_period_hours=2.0)
+    store = sinks.Store(spark, f"{at}/store")
+    keep = spark.conf.get(job.STATE, None)
+    try:
+        starts = job.job_queries(_event_stream(spark, d), _signals(spark), store, settings, f"{at}/state", available_now=True)
+        job.serve(starts, settings)
+    finally:
+        spark.conf.set(job.STATE, keep) if keep else spark.conf.unset(job.STATE)
+    return store.read("circadian_metrics").select(*KEY, "method", ms("window_end"), *r4("mesor", "amplitude", "r2", "cri", "is_stability", "iv_variab"))
+
+
 def queries() -> dict[str, Query]:
     named = (
         dead_letter, tumbling_aggregate, cosinor, gap_fill, stability, band_index, long_windows, scalogram, spectrum_share, spectrum_correlation, metrics_table, profile, difference, phase_profile, replay_all, replay_order, stride,
         q1_patients, q2_medians, q3_metrics, q4_truth, q5_overview, q6_scalogram, q7_light, light_ceiling, night_intervals, q8_patients, q9_signals, q10_panel, q15_latest, q16_disruptions, q17_phase, q18_index, q19_status, q20_tiles,
-        overlay, shaded, truth_effects, upsert, insert_absent, device_dispositions, unmapped_labels, scalar_functions, colours, normal_ranges, period_grid, stream_tumbling,
+        overlay, shaded, truth_effects, upsert, insert_absent, device_dispositions, unmapped_labels, scalar_functions, colours, normal_ranges, period_grid, stream_tumbling, stream_metrics, golden_spectra,
     )
     out: dict[str, Query] = {f.__name__: f for f in named}
     out |= {"q11_amplitude": _panel("cosinor", "amplitude"), "q12_index": _panel("cwt", "cri"), "q13_fit": _panel("cosinor", "r2"), "q14_stability": _panel("isiv", "is_stability", "iv_variab")}

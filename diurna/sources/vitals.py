@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from diurna.functions import scalars as S
 from diurna.schema import DEVICE_CSV, SAMPLE_JSON, SIGNAL_DDL, SIGNALS, TABLES, Settings
+from diurna.sources.sinks import INDEX_CSV, SPECTRUM_CSV
 
 
 def signal_dimension(spark: SparkSession, rows=SIGNALS) -> DataFrame:
@@ -81,6 +82,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
 
+def golden(spark: SparkSession, spectrum: str, index: str) -> tuple[DataFrame, DataFrame]:
+    """(a row for each period with a column for each signal's power, indices) of CSV files with headers."""
+    read = lambda path, schema: spark.read.option("header", True).schema(schema).csv(path)
+    return read(spectrum, SPECTRUM_CSV).groupBy("period").pivot("signal").agg(F.first("power")), read(index, INDEX_CSV)
+
+
 def jdbc_table(spark: SparkSession, settings: Settings, name: str) -> DataFrame:  # pragma: no cover - needs a database
     return spark.read.format("jdbc").options(url=settings.jdbc_url, dbtable=name, user=settings.jdbc_user, password=settings.jdbc_password).load()
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -101,21 +103,61 @@ def long_metrics(rows: DataFrame, settings: Settings) -> DataFrame:
     return cwt.unionByName(rhythm.as_metrics(rows.select("patient_id", "signal_type", "window_end", "is_stability", "iv_variab"), "isiv")) if settings.enable_isiv else cwt
 
 
-def run_job(samples: DataFrame, signals: DataFrame, store: Store, settings: Settings, checkpoint: str, available_now: bool = False) -> list[StreamingQuery]:
-    """Start the job's queries over a watermarked stream; each batch merges by key, so a replayed batch changes nothing."""
+STATE = "spark.sql.streaming.stateStore.providerClass"
+PROVIDERS = {name: f"org.apache.spark.sql.execution.streaming.state.{kind}" for name, kind in (("rocksdb", "RocksDBStateStoreProvider"), ("hashmap", "HDFSBackedStateStoreProvider"))}
+
+
+def configure(spark: SparkSession, settings: Settings) -> None:
+    """The session's state store, and its parallelism if the settings ask for more than the default."""
+    if settings.state_backend not in PROVIDERS:
+        raise ValueError(f"state_backend must be one of {', '.join(PROVIDERS)}")
+    spark.conf.set(STATE, PROVIDERS[settings.state_backend])
+    if settings.parallelism > 1:
+        spark.conf.set("spark.sql.shuffle.partitions", str(settings.parallelism))
+
+
+def job_queries(samples: DataFrame, signals: DataFrame, store: Store, settings: Settings, checkpoint: str = "", available_now: bool = False) -> dict[str, Callable[[], StreamingQuery]]:
+    """What starts each of the job's queries over a watermarked stream; each batch merges by key, so a replayed batch changes nothing.
+
+    Fits and long windows are two streams of one table: their union, merged by key (which holds the method).
+    """
+    checkpoint = checkpoint or settings.checkpoint_dir
+    if not checkpoint:
+        raise ValueError("the job needs a checkpoint folder: an argument, or checkpoint_dir")
+    configure(samples.sparkSession, settings)
     good = validate.valid(samples, signals)
     base = summaries(good, settings)
 
-    def start(rows: DataFrame, name: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-        writer = rows.writeStream.queryName(name).option("checkpointLocation", f"{checkpoint}/{name}").foreachBatch(sink).outputMode("append")
-        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{settings.checkpoint_interval_ms} milliseconds")).start()
+    def start(rows: DataFrame, name: str, sink: Callable[[DataFrame, int], None]) -> Callable[[], StreamingQuery]:
+        def run() -> StreamingQuery:
+            writer = rows.writeStream.queryName(name).option("checkpointLocation", f"{checkpoint}/{name}").foreachBatch(sink).outputMode("append")
+            return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{settings.checkpoint_interval_ms} milliseconds")).start()
+
+        return run
+
+    return {
+        "dead_letter": start(validate.dead_letters(samples, signals), "dead_letter", lambda rows, k: store.append_dead_letters(rows, k)),
+        "agg_1min": start(base, "agg_1min", lambda rows, k: store.upsert("agg_1min", rows)),
+        "cosinor": start(cosinor_stream(base, settings), "cosinor", lambda rows, k: store.upsert("circadian_metrics", rhythm.as_metrics(rows, "cosinor"))),
+        "long_windows": start(long_window_stream(base, settings), "long_windows", lambda rows, k: store.upsert("circadian_metrics", long_metrics(rows, settings))),
+    }
+
+
+def run_job(samples: DataFrame, signals: DataFrame, store: Store, settings: Settings, checkpoint: str = "", available_now: bool = False) -> list[StreamingQuery]:
+    """Start the job's queries, without supervision."""
+    return [start() for start in job_queries(samples, signals, store, settings, checkpoint, available_now).values()]
+
+
+def serve(starts: dict[str, Callable[[], StreamingQuery]], settings: Settings) -> dict[str, int]:
+    """Run queries to their end, each supervised; how often each was started again. One that gives up ends the job with its error."""
+    with ThreadPoolExecutor(len(starts)) as pool:
+        ends = {name: pool.submit(supervise, start, settings.restart_attempts, settings.restart_delay_seconds) for name, start in starts.items()}
+        return {name: end.result() for name, end in ends.items()}
+
 
-    return [
-        start(validate.dead_letters(samples, signals), "dead_letter", lambda rows, k: store.append_dead_letters(rows, k)),
-        start(base, "agg_1min", lambda rows, k: store.upsert("agg_1min", rows)),
-        start(cosinor_stream(base, settings), "cosinor", lambda rows, k: store.upsert("circadian_metrics", rhythm.as_metrics(rows, "cosinor"))),
-        start(long_window_stream(base, settings), "long_windows", lambda rows, k: store.upsert("circadian_metrics", long_metrics(rows, settings))),
-    ]
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows behind the watermark that a query's stateful operators have dropped, over its recent progress."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
 
 
 def supervise(start: Callable[[], StreamingQuery], attempts: int = 3, delay_seconds: float = 10.0) -> int:

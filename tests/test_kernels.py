@@ -64,6 +64,14 @@ def test_golden_indices():
     assert abs(math.log2(periods[power.mean(axis=1).argmax()] / 24)) <= 1 / 12
 
 
+def test_global_spectrum_is_the_scalogram_s_mean(spark):
+    x = day(120, 24) * 3 + np.random.default_rng(4).normal(size=120)
+    filled = spark.createDataFrame([("p", "HR", 0, i, float(v)) for i, v in enumerate(x)], "patient_id string, signal_type string, window_end long, i int, x double").withColumn("window_end", F.timestamp_seconds("window_end"))
+    periods, power = rhythm.scalogram(x, 1.0, low=2.0)
+    got = rhythm.global_spectrum(filled).toPandas()
+    assert np.allclose(got.period, periods) and np.allclose(got.power, power.mean(axis=1))
+
+
 def test_stability():
     i = np.arange(168)
     s, v = rhythm.stability_of(np.cos(2 * np.pi * i / 24), 24)
