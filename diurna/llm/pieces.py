@@ -10,7 +10,9 @@ relaxed:
   adjacent symbols whose union is the edge of best score, leftmost first (``relax_merges``), all segments at once.
 
 Characters without a piece become byte pieces, or the unknown id if the model has none. Decoding turns ids into text again.
-Null and empty texts have no ids.
+Null and empty texts have no ids; very long texts are encoded whole; repeated rows are rows like others; a table without rows
+gives none; other columns, whatever their names, play no part. Decoding gives the text that the model saw: its own mark for a
+space, U+2581, comes back as a space.
 """
 
 from __future__ import annotations
@@ -317,7 +319,7 @@ def model(path: str) -> Model:
 def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """``(doc_id, n_tokens, ids_crc32, round_trip)`` of each document, with ``ids`` the ids as well.
 
-    ids_crc32: of the ids as little-endian unsigned 32-bit integers. round_trip: decoding gives the text back.
+    ids_crc32: of the ids as little-endian unsigned 32-bit integers. round_trip: decoding gives the text back (U+2581 as a space).
     """
     common.small_batches(docs.sparkSession, 1000)
 

@@ -3,11 +3,13 @@
 Fingerprint: words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, word shingles joined by spaces, XXH64 (seed 42)
 of each shingle, a bit set if over half the hashes have it. A null or empty text has fingerprint zero and links like any other.
 
-Links: two fingerprints within ``radius`` bits agree on at least two of ``radius + 2`` blocks of bits, so each distinct
-fingerprint is dealt to one bucket for each pair of blocks. In a bucket a table of Hamming distances to fixed reference
+Links: two fingerprints within ``radius`` bits agree on at least k of ``radius + k`` blocks of bits, so each distinct
+fingerprint is dealt to one bucket for each choice of k blocks; k grows with the number of fingerprints, so that buckets stay
+small, and changes no result. In a bucket a table of Hamming distances to fixed reference
 fingerprints ("pivots") is kept; by the triangle inequality two fingerprints whose distances to any pivot differ by more
 than ``radius`` can't link. Survivors are verified by the exact distance. Equal fingerprints (exact copies above all)
-are one class from the start, large buckets are dealt in tiles, and each task returns stars, not all pairs.
+are one class from the start, large buckets are dealt in tiles, and each task returns stars, not all pairs. Very long texts are
+hashed whole. Repeated rows are rows of one class. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -72,9 +74,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", id: str
     return common.map_batches(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of radius + 2 blocks."""
-    n = radius + 2
+def blocks(radius: int, agree: int = 2) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of radius + agree blocks."""
+    n = radius + agree
     cuts = [BITS * i // n for i in range(n + 1)]
     return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)]
 
@@ -133,12 +135,14 @@ def stars(fps: np.ndarray, radius: int, left: np.ndarray | None = None) -> tuple
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _small(keys: np.ndarray, which: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _small(keys: np.ndarray, which: np.ndarray, fps: np.ndarray, radius: int, agree: int) -> tuple[np.ndarray, np.ndarray]:
     """Links in runs of equal keys, all small: each pair once, in its first bucket."""
     table = distance_table(fps, pivots())
-    cut = blocks(radius)
-    pairs = list(combinations(range(len(cut)), 2))
-    first = {p: i for i, p in enumerate(pairs)}
+    cut = blocks(radius, agree)
+    bit = 1 << np.arange(len(cut))
+    first = np.full(1 << len(cut), -1)
+    for i, chosen in enumerate(combinations(range(len(cut)), agree)):
+        first[bit[list(chosen)].sum()] = i
     a, b = [], []
     step = 1
     at = np.arange(len(keys) - 1)
@@ -153,10 +157,8 @@ def _small(keys: np.ndarray, which: np.ndarray, fps: np.ndarray, radius: int) ->
         i, x = i[ok], x[ok]
         if len(i):
             equal = np.stack([(x >> np.uint64(lo)) & np.uint64((1 << n) - 1) == 0 for lo, n in cut])
-            one = equal.argmax(axis=0)
-            equal[one, np.arange(len(i))] = False
-            two = equal.argmax(axis=0)
-            own = np.array([first[p] for p in zip(one.tolist(), two.tolist(), strict=True)]) == which[i]
+            chosen = equal & (np.cumsum(equal, axis=0) <= agree)
+            own = first[bit @ chosen] == which[i]
             a.append(i[own])
             b.append(i[own] + step)
         step += 1
@@ -164,7 +166,7 @@ def _small(keys: np.ndarray, which: np.ndarray, fps: np.ndarray, radius: int) ->
     return np.concatenate(a) if a else empty, np.concatenate(b) if b else empty
 
 
-def _link_sorted(radius: int):
+def _link_sorted(radius: int, agree: int):
     """Over rows sorted by bucket (key, tile): links as (u, v)."""
 
     def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -185,7 +187,7 @@ def _link_sorted(radius: int):
         if rest.any():
             k, f, n, s = key[rest], fp[rest], node[rest], side[rest]
             run = np.repeat(np.arange(len(begin)), end - begin)[rest]
-            x, y = _small(run, k & 15, f, radius)
+            x, y = _small(run, k & 127, f, radius, agree)
             ok = (s[x] != s[y]) | (tile[rest][x] < 0) | (tile[rest][x] % 2 == 0)
             if ok.any():
                 yield out(n[x[ok]], n[y[ok]])
@@ -217,18 +219,24 @@ def _by_bucket(handle):
     return run
 
 
-def links(classes: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """``(u, v)``: links with the same components as all pairs of ``classes (fp, node)`` within radius bits."""
+def links(classes: DataFrame, radius: int = 4, tile: int = TILE, agree: int | None = None) -> DataFrame:
+    """``(u, v)``: links with the same components as all pairs of ``classes (fp, node)`` within radius bits.
+
+    ``agree``: how many blocks name a bucket, 2 to 4; by default the fewest whose buckets hold eight fingerprints or so.
+    """
     if not 1 <= radius <= 4:
         raise ValueError("radius must be between 1 and 4")
-    cut = blocks(radius)
+    if agree is None:
+        n = classes.count()
+        agree = next((k for k in (2, 3) if n <= 8 << BITS * k // (radius + k)), 4)
     buckets = []
-    for i, ((p, m), (q, n)) in enumerate(combinations(cut, 2)):
-        one = F.shiftrightunsigned("fp", p).bitwiseAND(F.lit((1 << m) - 1))
-        two = F.shiftrightunsigned("fp", q).bitwiseAND(F.lit((1 << n) - 1))
-        buckets.append(F.shiftleft(one, 28).bitwiseOR(F.shiftleft(two, 4)).bitwiseOR(F.lit(i).cast("long")))
+    for i, chosen in enumerate(combinations(blocks(radius, agree), agree)):
+        key = F.lit(0).cast("long")
+        for low, n in chosen:
+            key = F.shiftleft(key, n).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << n) - 1)))
+        buckets.append(F.shiftleft(key, 7).bitwiseOR(F.lit(i).cast("long")))
     rows = classes.select("fp", "node", F.explode(F.array(*buckets)).alias("key"))
-    return dealt(rows, tile).mapInArrow(_link_sorted(radius), "u long, v long")
+    return dealt(rows, tile).mapInArrow(_link_sorted(radius, agree), "u long, v long")
 
 
 def dealt(rows: DataFrame, tile: int) -> DataFrame:

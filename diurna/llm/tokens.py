@@ -8,17 +8,21 @@ of documents as unsigned 64-bit, then a flag for each document (1: its doc_id is
 Parts hold ascending ranges of doc_id (nulls first; rows that repeat an id are ordered by a hash of their text), so a
 document's start in the whole is its part's base, a prefix sum over the parts' sizes, plus its offset. Files are
 written under a temporary name and renamed: a task that runs twice leaves one complete part. Readers map the files
-into memory where the folder is a local path and read them through Arrow's file systems elsewhere.
+into memory where the folder is a local path; elsewhere they read the index and, through Arrow's file systems, the ranges of ids
+that they need.
 
-Each document ends with ``end_id``; null and empty texts are the end id alone.
+Each document ends with ``end_id``; null and empty texts are the end id alone; very long texts are encoded whole. Repeated rows
+are documents like others. A table without rows gives no parts. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC, VERSION = b"DITK", 1
+SPAN = 1 << 20  # ids that a reader holds at once, more only for a longer document
 CACHE = 1_400_000  # segments whose ids a worker keeps
 MARKS = "!#$%&*,.;:?"
 # where one of these occurs, white space isn't single or not plain (or the mark for cuts is there)
@@ -148,16 +153,15 @@ def _uri(folder: str) -> str:
     return "file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
 
 
-def index_bytes(ids: list[int | None], sizes: list[int], width: int) -> bytes:
-    flags = np.array([i is None for i in ids], np.uint8).tobytes()
+def index_bytes(ids: np.ndarray, flags: bytes, sizes: np.ndarray, width: int) -> bytes:
     head = MAGIC + np.array([VERSION, width], "<u4").tobytes() + np.array([len(ids)], "<u8").tobytes() + flags
     head += b"\0" * (-len(head) % 8)
     offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.uint64))]).astype("<u8")
-    return head + np.array([i or 0 for i in ids], "<i8").tobytes() + offsets.tobytes()
+    return head + ids.astype("<i8").tobytes() + offsets.tobytes()
 
 
 class Part:
-    """One part, mapped into memory."""
+    """One part: mapped into memory, or read by ranges where that isn't possible."""
 
     def __init__(self, folder: str, name: str):
         files, base = _open(folder)
@@ -180,13 +184,20 @@ class Part:
         at = 20 + n + -(20 + n) % 8
         self.doc_ids = head[at : at + 8 * n].view("<i8")
         self.offsets = head[at + 8 * n : at + 16 * n + 8].view("<u8")
-        self.ids = view("bin").view(f"<u{width}")
+        self.width = width
+        self.file = None if isinstance(files, fs.LocalFileSystem) else files.open_input_file(f"{base}/{name}.bin")
+        if self.file is None:
+            self.ids = view("bin").view(f"<u{width}")
 
     def __len__(self) -> int:
         return len(self.doc_ids)
 
-    def document(self, k: int) -> np.ndarray:
-        return self.ids[int(self.offsets[k]) : int(self.offsets[k + 1])]
+    def documents(self, a: int, b: int) -> np.ndarray:
+        """The ids of documents a to b - 1, end to end."""
+        i, j = int(self.offsets[a]), int(self.offsets[b])
+        if self.file is None:
+            return self.ids[i:j]
+        return np.frombuffer(self.file.read_at((j - i) * self.width, i * self.width), f"<u{self.width}")
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, parts: int | None = None) -> DataFrame:
@@ -207,11 +218,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, parts:
         files, base = _open(_uri(folder))
         files.create_dir(base, recursive=True)
         trial = f"{base}/_{name}-{uuid.uuid4().hex}"
-        ids: list[int | None] = []
-        sizes: list[int] = []
+        ids, sizes, flags = array("q"), array("q"), bytearray()
         with files.open_output_stream(f"{trial}.bin") as out:
             for batch in batches:
-                ids += batch.column(0).to_pylist()
+                ids.frombytes(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
+                flags += np.asarray(batch.column(0).is_null()).astype(np.uint8).tobytes()
                 for line in code.encode([t or "" for t in batch.column(1).to_pylist()]):
                     out.write(line + end)
                     sizes.append(len(line) // code.width + 1)
@@ -219,7 +230,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, parts:
             files.delete_file(f"{trial}.bin")
             return
         with files.open_output_stream(f"{trial}.idx") as out:
-            out.write(index_bytes(ids, sizes, code.width))
+            out.write(index_bytes(np.frombuffer(ids, np.int64), bytes(flags), np.frombuffer(sizes, np.int64), code.width))
         for suffix in ("bin", "idx"):
             files.move(f"{trial}.{suffix}", f"{base}/{name}.{suffix}")
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([len(ids)]), pa.array([sum(sizes)])], names=["part", "name", "n_docs", "n_tokens"])
@@ -252,10 +263,14 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 part = Part(_uri(folder), name)
-                for at in range(0, len(part), 10_000):
-                    span = range(at, min(len(part), at + 10_000))
-                    crc = [zlib.crc32(part.document(k).astype("<u4").tobytes()) for k in span]
-                    offsets = part.offsets[at : at + len(span) + 1].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(part.doc_ids[at : at + len(span)]), mask=np.array(part.null[at : at + len(span)])), pa.array(offsets[:-1] + base), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                at = 0
+                while at < len(part):
+                    # some documents at a time: as many as hold SPAN ids, one at least
+                    end = max(at + 1, min(at + 10_000, int(np.searchsorted(part.offsets, part.offsets[at] + np.uint64(SPAN), "right")) - 1, len(part)))
+                    offsets = part.offsets[at : end + 1].astype(np.int64)
+                    ids = part.documents(at, end)
+                    crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in itertools.pairwise((offsets - offsets[0]).tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(part.doc_ids[at:end]), mask=np.array(part.null[at:end])), pa.array(offsets[:-1] + base), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    at = end
 
     return parts.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

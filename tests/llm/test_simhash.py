@@ -49,8 +49,8 @@ def test_components(make_docs, corpus):
     assert got == want
 
 
-@pytest.mark.parametrize(("n", "tile"), [(300, 2048), (600, 100)])
-def test_links_of_near_fingerprints(spark, n, tile):
+@pytest.mark.parametrize(("n", "tile", "agree"), [(300, 2048, None), (600, 100, 2), (300, 2048, 3), (300, 50, 4)])
+def test_links_of_near_fingerprints(spark, n, tile, agree):
     r = np.random.default_rng(1)
     centres = r.integers(0, 2**64, 3, np.uint64, endpoint=False)
     fps = []
@@ -61,7 +61,7 @@ def test_links_of_near_fingerprints(spark, n, tile):
         fps.append(x)
     fps = sorted(set(fps))
     rows = [(int(np.array(f, np.uint64).view(np.int64)), i) for i, f in enumerate(fps)]
-    e = simhash.links(spark.createDataFrame(rows, "fp long, node long"), 4, tile)
+    e = simhash.links(spark.createDataFrame(rows, "fp long, node long"), 4, tile, agree)
     pairs = e.collect()
     assert all((fps[u] ^ fps[v]).bit_count() <= 4 for u, v in pairs)
     roots = {u: v for u, v in common.connected_components(e).collect()}

@@ -46,6 +46,22 @@ def test_files(spark, make_docs, corpus, library):
     assert flat[row[1] : row[1] + row[2]].tolist() == [*library(texts[first[1]] or ""), 0]
 
 
+def test_reading_by_ranges_equals_the_map(spark, make_docs, corpus, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    docs = make_docs(corpus).withColumnRenamed("lang", "part").withColumnRenamed("source", "h")
+    folder = str(tmp_path)
+    manifest = tokens.write(docs, folder, tokenizer_path(BYTE_BPE), 0, parts=2)
+    for name in [r.name for r in manifest.collect()]:
+        mapped = tokens.Part(folder, name)
+        with monkeypatch.context() as m:
+            m.setattr(tokens, "_open", lambda f: (fs.SubTreeFileSystem(f, fs.LocalFileSystem()), ""))  # not a local file system
+            ranged = tokens.Part(folder, name)
+        assert ranged.file is not None and not hasattr(ranged, "ids")
+        for a, b in ((0, len(mapped)), (3, 4), (1, 9), (5, 5)):
+            assert np.array_equal(mapped.documents(a, b), ranged.documents(a, b))
+
+
 def test_no_documents(spark, make_docs):
     folder = common.scratch(spark, "test")
     assert tokens.read(spark, tokens.write(make_docs([]), folder, tokenizer_path(BYTE_BPE)), folder).count() == 0
