@@ -74,11 +74,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}  # Spark's default, or what small_batches set last
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Long texts: bound the rows of an Arrow batch, where no other bound than the default is set."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") in ("10000", "1000", "256"):
-        spark.conf.set(key, str(rows))
+    """Long texts: bound the rows of an Arrow batch in this session, unless its user has set another bound than the default."""
+    for key, ours in _BATCH.items():
+        if spark.conf.get(key, "10000") in ("10000", ours):
+            spark.conf.set(key, str(rows))
+            _BATCH[key] = str(rows)
 
 
 @contextlib.contextmanager
