@@ -183,9 +183,8 @@ def _contract(edges: DataFrame) -> DataFrame:
         for batch in batches:
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             size += batch.num_rows
-            if size >= 2_000_000:
-                star = flush()
-                yield star
+            if size >= 2 * FEW:
+                yield flush()
                 held, size = [], 0
         if size:
             yield flush()
@@ -193,6 +192,9 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+FEW = 1 << 20  # links that one task may finish: 16 MB
+
+
 def _mark(df: DataFrame) -> tuple[int, int]:
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], int(row["s"] or 0)
@@ -201,15 +203,19 @@ def _mark(df: DataFrame) -> tuple[int, int]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(u, v)`` links to ``(u, v)`` with v the smallest id reachable from u, for each u that isn't that id itself.
 
-    Large-star and small-star steps alternate until nothing changes. Each step is a mergeable minimum and a
-    join whose large side Spark may split, so a hub isn't gathered in one task; each round is a stored table.
+    Tasks contract their own links to stars first. If at most ``FEW`` links are left then, one task finishes them. Else large-star
+    and small-star steps alternate until nothing changes: each step is a mergeable minimum and a join whose large side Spark
+    may split, so a hub isn't gathered in one task; each round is a stored table.
     """
-    spark = edges.sparkSession
     e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     e = stored(_contract(e).distinct(), "links")
     mark = _mark(e)
     if not mark[0]:
         return e
+    if mark[0] <= FEW:
+        out = stored(_contract(e.coalesce(1)), "links")
+        discard(e)
+        return out
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -63,7 +63,7 @@ def test_stages_on_nulls_and_nothing(spark, make_docs, tmp_path):
 def test_clashing_columns_pass_all_stages_but_the_last(spark, make_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     words = " ".join(f"w{i}" for i in range(90))
-    docs = make_docs([words, "x " + words + " " + words[:200], None])
+    docs = make_docs([words, "x " + words + " " + " ".join(f"v{i}" for i in range(60)), None])
     for name in ("score", "predicted", "n_words", "n_removed", "kept_sha256", "kept_text", "id", "row", "spans"):
         docs = docs.withColumn(name, docs.doc_id * 7.5)
     columns = docs.columns

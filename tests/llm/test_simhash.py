@@ -154,7 +154,9 @@ def test_empty_table(make_docs):
     assert simhash.components(make_docs([])).count() == 0
 
 
-def test_components_of_a_long_path_and_a_hub(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components_of_a_long_path_and_a_hub(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)] + [(5, 5), (None, 3)]
     got = {u: v for u, v in common.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, **{i: 1000 for i in range(1001, 1400)}}
