@@ -189,7 +189,8 @@ def _groups(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFr
         parts = common.stored(parts, "parts")
         sums = parts.agg(F.sum((F.col("size") - F.col("most")) * F.col("size")).alias("pairs"), F.max("size").alias("size"), F.count("*").alias("tokens"), F.sum(F.col("size") - F.col("most")).alias("rest")).first()
         left = named.join(parts.select("token", "main"), "token")
-        last = not sums["size"] or sums["pairs"] <= ENOUGH * meetings.count()
+        # one centre for each member first: most groups are one component then, and the others' pairs are few
+        last = not sums["size"] or offset > 0 and sums["pairs"] <= ENOUGH * meetings.count()
         if last:
             chosen = left.where("root <> main")
         else:

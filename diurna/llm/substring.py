@@ -11,8 +11,6 @@ have equal edges at equal offsets, so only edges that occur in two documents can
 around one edge that share it as their least k-mer form one nonbranching path, identified by its first and last window;
 paths compact to one row and Spark joins settle them:
 
-* adjacent paths of a document compact further to chunks, cut where a path's hash says so: a chunk that occurs in a smaller
-  document is repeated as a whole, in one row, and only chunks without such a source are opened again;
 * a path that occurs in a smaller document is repeated as a whole, all its windows with it;
 * where an edge has several paths (a branch: the border of a shared passage, an edited word), the words at the source
   coordinates of one occurrence of each path are read again, and its windows are compared one by one.
@@ -146,43 +144,6 @@ def _at_sources(window: int):
     return run
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over paths in order of document and place: runs of adjacent paths, cut where a path's own hash says so."""
-    for batch in batches:
-        edge, path, ids, rows, start, n = (batch.column(i).to_numpy() for i in range(6))
-        cut = np.ones(len(ids), bool)
-        cut[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (path[1:] & 3 == 0)
-        begin = np.flatnonzero(cut)
-        size = np.diff(np.concatenate([begin, [len(ids)]]))
-        place = np.arange(len(ids)) - np.repeat(begin, size)
-        names = []
-        for base, x in zip(_BASES, (path, edge), strict=True):
-            value = mix(mix(x.view(np.uint64) + n.astype(np.uint64)) + place.astype(np.uint64) * base)
-            names.append(pa.array(mix(np.add.reduceat(value, begin) + size.astype(np.uint64)).view(np.int64)))
-        parts = pa.StructArray.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5)], names=["edge", "path", "start", "n"])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(ids)]]).astype(np.int32)), parts)
-        yield pa.RecordBatch.from_arrays([*names, pa.array(ids[begin]), pa.array(rows[begin]), pa.array(start[begin]), pa.array(np.add.reduceat(n, begin).astype(np.int32)), lists], names=["chunk_a", "chunk_b", "doc_id", "row", "start", "n", "paths"])
-
-
-def compacted(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``(a, b, whole, doc_id, row, start, n)`` of chunks that a smaller document has and of the others' paths, those chunks' sources).
-
-    The smallest document that has a path has it in a chunk that no smaller document has, so the paths left still show it.
-    """
-    ordered = kept.select("edge", "path", "doc_id", "row", "start", "n").repartition("doc_id", "row").sortWithinPartitions("doc_id", "row", "start")
-    schema = "chunk_a long, chunk_b long, doc_id long, row long, start int, n int, paths array<struct<edge: long, path: long, start: int, n: int>>"
-    with common.batches_of(kept.sparkSession, 10_000):  # short rows
-        chunks = common.stored(ordered.mapInArrow(_chunks, schema), "chunks")
-    low = chunks.groupBy("chunk_a", "chunk_b").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at"), F.max("doc_id").alias("high")).where("high > at.doc_id")
-    low = common.stored(low.select("chunk_a", "chunk_b", "at"), "chunk-sources")
-    whole = F.col("doc_id") > F.col("at.doc_id")
-    one = F.struct(F.col("chunk_a").alias("edge"), F.col("chunk_b").alias("path"), "start", "n")
-    both = chunks.join(low, ["chunk_a", "chunk_b"], "left").select("doc_id", "row", F.coalesce(whole, F.lit(False)).alias("whole"), F.explode(F.when(whole, F.array(one)).otherwise(F.col("paths"))).alias("p"))
-    parts = common.stored(both.select(F.col("p.edge").alias("a"), F.col("p.path").alias("b"), "whole", "doc_id", "row", "p.start", "p.n"), "parts")
-    common.discard(chunks)
-    return parts, low.select(F.col("chunk_a").alias("a"), F.col("chunk_b").alias("b"), "at")
-
-
 def copies(keyed: DataFrame) -> DataFrame:
     """``(doc_id, row)`` of rows whose text a smaller document has as well."""
     names = common.stored(keyed.where("doc_id is not null and length(text) > 0").select("doc_id", "row", F.sha2("text", 256).alias("name")), "names")
@@ -205,14 +166,11 @@ def removals(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
     kept = common.stored(found.join(shared, "edge", "left_semi"), "paths")
     common.discard(found, shared)
     common.release(spark)
-    parts, chunk_sources = compacted(kept)
-    common.discard(kept)
-    common.release(spark)
-    classes = parts.where("not whole").groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at"), F.max("doc_id").alias("high"))
-    classes = common.stored(classes, "classes")
+    # paths' names are joined, never their pairs: a path's occurrences meet its one source
+    classes = kept.groupBy("edge", "path").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at"), F.max("doc_id").alias("high"))
+    classes = common.stored(classes.select(F.col("edge").alias("a"), F.col("path").alias("b"), "at", "high"), "classes")
     branches = common.stored(classes.groupBy("a").count().where("count > 1").select("a", F.lit(True).alias("branch")), "branches")
     there = classes.join(branches, "a", "left").select("a", "b", "at", F.coalesce("branch", F.lit(False)).alias("branch"), "high").where("branch or high > at.doc_id").drop("high")
-    there = there.unionByName(chunk_sources.withColumn("branch", F.lit(False)))
     there = there.groupBy("at.doc_id", "at.row").agg(F.collect_list(F.struct("a", "b", "at.start", "at.n", "branch")).alias("spans"))
     sources = rest.join(there, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "spans")
     read = common.stored(common.map_batches(sources, _at_sources(window), "a long, b long, place int, words binary, doc_id long"), "read")
@@ -221,11 +179,13 @@ def removals(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
     low = windows.groupBy("a", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "words", "low")
     masks = windows.join(low, ["a", "words"]).where("low < doc_id").groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
     names = read.where("place < 0").select("a", "b", F.col("doc_id").alias("low"), "words")
-    # stored, so that the join with the parts has two plain exchanges and Spark may split its large partitions
-    settled = common.stored(names.join(masks, ["a", "b"], "left"), "settled")
+    # stored, so that the join with the paths has two plain exchanges and Spark may split its large partitions
+    twice = classes.where("high > at.doc_id").select("a", "b", F.lit(True).alias("twice"))
+    settled = names.join(masks, ["a", "b"], "left").join(twice, ["a", "b"], "left").where("twice or mask is not null")
+    settled = common.stored(settled.select(F.col("a").alias("edge"), F.col("b").alias("path"), "low", "words", "mask"), "settled")
     common.discard(read, classes, branches)
     common.release(spark)
-    out = parts.join(settled, ["a", "b"]).where("doc_id > low or mask is not null")
+    out = kept.join(settled, ["edge", "path"]).where("doc_id > low or mask is not null")
     later = F.col("doc_id") > F.col("low")
     out = out.select("doc_id", "row", F.struct("start", "n", F.when(~later, F.col("mask")).alias("mask"), F.when(later, F.col("words")).alias("words")).alias("span"))
     every = F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("n"), F.lit(None).cast("long").alias("mask"), F.lit(None).cast("binary").alias("words"))
