@@ -9,7 +9,8 @@ loses all its words if it has a whole window, and none otherwise. Only the class
 Edges of the graph are the ``anchor``-word k-mers that are the least (by hash, leftmost) of some window: equal windows
 have equal edges at equal offsets, so only edges that occur in two documents can carry a repeated window. The windows
 around one edge that share it as their least k-mer form one nonbranching path, identified by its first and last window;
-paths compact to one row and Spark joins settle them:
+paths compact to one row, with all places of one text where the path occurs (a word repeated m times has about m windows and
+one path), and Spark joins settle them:
 
 * a path that occurs in a smaller document is repeated as a whole, all its windows with it;
 * where an edge has several paths (a branch: the border of a shared passage, an edited word), the words at the source
@@ -110,8 +111,21 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
+def gathered(doc: np.ndarray, start: np.ndarray, edge: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """(index of each path's first occurrence in its text, starts of the further ones, ascending; null if there are none)."""
+    order = np.lexsort((start, path, edge, doc))
+    d, e, p = doc[order], edge[order], path[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (p[1:] != p[:-1])])
+    more = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+    offsets = np.concatenate([[0], np.cumsum(more)]).astype(np.int32)
+    return order[new], pa.ListArray.from_arrays(pa.array(offsets), pa.array(start[order[~new]].astype(np.int32)), mask=pa.array(more == 0))
+
+
 def path_rows(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``(edge, path, doc_id, row, start, n)`` of each path of keyed (doc_id, row, text)."""
+    """``(edge, path, doc_id, row, start, n, again)`` of each path of keyed (doc_id, row, text), one row for each text that has it.
+
+    start is its first place in the text, again holds the further ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +134,11 @@ def path_rows(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
             for i, j in _pieces(texts):
                 doc, start, count, edge, path = paths(texts[i:j], window, anchor)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(edge), pa.array(path), pa.array(ids[i:j][doc]), pa.array(rows[i:j][doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["edge", "path", "doc_id", "row", "start", "n"])
+                    at, again = gathered(doc, start, edge, path)
+                    own = doc[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(edge[at]), pa.array(path[at]), pa.array(ids[i:j][own]), pa.array(rows[i:j][own]), pa.array(start[at].astype(np.int32)), pa.array(count[at].astype(np.int32)), again], names=["edge", "path", "doc_id", "row", "start", "n", "again"])
 
-    return keyed.mapInArrow(run, "edge long, path long, doc_id long, row long, start int, n int")
+    return keyed.mapInArrow(run, "edge long, path long, doc_id long, row long, start int, n int, again array<int>")
 
 
 def _at_sources(window: int):
@@ -154,7 +170,7 @@ def copies(keyed: DataFrame) -> DataFrame:
 
 
 def removals(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(doc_id, row, spans)``; spans: (start, n, mask, words) of paths to remove, mask null for all their windows, words the source's digest."""
+    """``(doc_id, row, spans)``; spans: (start, n, again, mask, words) of paths to remove, mask null for all their windows, words the source's digest."""
     spark = keyed.sparkSession
     if not 2 <= window - anchor + 1 <= 63 or anchor < 1:
         raise ValueError("window - anchor must be between 1 and 62")
@@ -166,7 +182,7 @@ def removals(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
     kept = common.stored(found.join(shared, "edge", "left_semi"), "paths")
     common.discard(found, shared)
     common.release(spark)
-    # paths' names are joined, never their pairs: a path's occurrences meet its one source
+    # paths' names are joined, never their pairs: a path's texts meet its one source
     classes = kept.groupBy("edge", "path").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at"), F.max("doc_id").alias("high"))
     classes = common.stored(classes.select(F.col("edge").alias("a"), F.col("path").alias("b"), "at", "high"), "classes")
     branches = common.stored(classes.groupBy("a").count().where("count > 1").select("a", F.lit(True).alias("branch")), "branches")
@@ -187,8 +203,8 @@ def removals(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
     common.release(spark)
     out = kept.join(settled, ["edge", "path"]).where("doc_id > low or mask is not null")
     later = F.col("doc_id") > F.col("low")
-    out = out.select("doc_id", "row", F.struct("start", "n", F.when(~later, F.col("mask")).alias("mask"), F.when(later, F.col("words")).alias("words")).alias("span"))
-    every = F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("n"), F.lit(None).cast("long").alias("mask"), F.lit(None).cast("binary").alias("words"))
+    out = out.select("doc_id", "row", F.struct("start", "n", "again", F.when(~later, F.col("mask")).alias("mask"), F.when(later, F.col("words")).alias("words")).alias("span"))
+    every = F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("n"), F.lit(None).cast("array<int>").alias("again"), F.lit(None).cast("long").alias("mask"), F.lit(None).cast("binary").alias("words"))
     return out.unionByName(gone.select("doc_id", "row", every.alias("span"))).groupBy("doc_id", "row").agg(F.collect_set("span").alias("spans"))
 
 
@@ -196,19 +212,21 @@ def _cover(words: list[bytes], spans: list[dict], window: int) -> np.ndarray:
     """Which words are removed."""
     delta = np.zeros(len(words) + 1, np.int32)
     for span in spans:
-        s, n, m = span["start"], span["n"], span["mask"]
+        n, m = span["n"], span["mask"]
         if n == ALL:
             if len(words) >= window:
                 delta[0] += 1
-        elif m is None:
-            if digest(words[s : s + n - 1 + window]) == span["words"]:
-                delta[s] += 1
-                delta[s + n - 1 + window] -= 1
-        else:
-            for o in range(n):
-                if m >> o & 1:
-                    delta[s + o] += 1
-                    delta[s + o + window] -= 1
+            continue
+        for s in (span["start"], *(span.get("again") or ())):
+            if m is None:
+                if digest(words[s : s + n - 1 + window]) == span["words"]:
+                    delta[s] += 1
+                    delta[s + n - 1 + window] -= 1
+            else:
+                for o in range(n):
+                    if m >> o & 1:
+                        delta[s + o] += 1
+                        delta[s + o + window] -= 1
     return np.cumsum(delta[:-1]) > 0
 
 

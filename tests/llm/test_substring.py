@@ -40,6 +40,21 @@ def test_repetitive_text_and_repeated_rows(make_docs):
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
+def test_a_path_is_one_row_of_a_text(make_docs):
+    """A word, a word pair and a line that a text repeats: rows by text and path, however often it occurs there."""
+    line = " ".join(f"w{i}" for i in range(60)) + "\n"
+    rows = [(k, f"{k} " + "a b " * (100 + k)) for k in range(4)] + [(k, "c " * 150 + str(k)) for k in range(4, 7)]
+    rows += [(k, line * 5 + f"end of {k}") for k in range(7, 10)] + [(10, "x " + "a b " * 30 + line + "c " * 49 + "a b " * 26 + "y")]
+    docs = make_docs([t for _, t in rows], [i for i, _ in rows])
+    found = substring.path_rows(docs.selectExpr("doc_id", "xxhash64(text) as row", "text"), 50, 16).collect()
+    assert len(found) == len({(r.doc_id, r.row, r.edge, r.path) for r in found})
+    for i, t in rows:  # each window is in one of its text's paths
+        at = sorted(s + o for r in found if r.doc_id == i for s in (r.start, *(r.again or ())) for o in range(r.n))
+        assert at == list(range(len(t.split()) - 49))
+    got = substring.substring_dedup(docs, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
 def test_words_made_to_collide(make_docs):
     """Words, and runs of words, that are equal under polynomials modulo a power of two."""
     bits = [bin(i).count("1") % 2 for i in range(512)]
